@@ -40,3 +40,18 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def summed(rows, value: str = "double", group: tuple[str, ...] = ("part",)):
+    """rows(part int, counts binary) of equal-sized numpy arrays -> one row for each part, added up as they stream in."""
+    import numpy as np
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for row in b.column("counts"):
+                one = np.frombuffer(row.as_buffer(), value)
+                total = one.copy() if total is None else total + one
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    return rows.groupBy("part").applyInArrow(add, "part int, counts binary")
