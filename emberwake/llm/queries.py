@@ -28,6 +28,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_report
 
@@ -52,5 +64,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_mixing, op4_language_id, op9_secrets, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_mixing, op4_language_id, op5_embedding_neardup, op7_nearest, op9_secrets, op10_quality)}
 ORACLES: dict[str, str] = {}
