@@ -34,12 +34,25 @@ def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_report
+
+    return token_report(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_documents(_table(spark, sf_dir, "documents"), good, tokenizer_file("piece_bpe_32k.model"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_report
 
@@ -64,5 +77,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_mixing, op4_language_id, op5_embedding_neardup, op7_nearest, op9_secrets, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_mixing, op4_language_id, op5_embedding_neardup, op6_token_files, op7_nearest, op8_lm_score, op9_secrets, op10_quality)}
 ORACLES: dict[str, str] = {}
