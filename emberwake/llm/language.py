@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .arrow import slices, summed, texts
 from .pieces import SPACE, Trie
@@ -178,13 +179,15 @@ def train(docs: DataFrame, model_file: str, rounds: int = 1, text_col: str = "te
     return LanguageModel(model_file, languages, probability)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of each row. score is the posterior of lang_pred at equal priors.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) of each row, or with keep all columns of docs and these two. score is the posterior of lang_pred at equal priors.
 
     `und` with score 0 for null texts, for texts without a letter, and if no language was learned.
     """
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    kind = own.schema["doc_id"].dataType.simpleString()
+    own = docs if keep else docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    name = text_col if keep else "text"
+    out = own.schema if keep else own.select("doc_id").schema
+    out = StructType([*out.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         scorer = Scorer(m)
         for b in slices(batches):
             names, scores = [], []
-            for ll in scorer.totals(texts(b)):
+            for ll in scorer.totals(texts(b, name)):
                 if ll is None or not m.languages:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
@@ -200,9 +203,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     best = int(np.argmax(ll))
                     names.append(m.languages[best])
                     scores.append(float(1 / np.exp(ll - ll[best]).sum()))
-            yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            columns = b.columns if keep else [b.column(0)]
+            yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], out.names)
 
-    return own.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return own.mapInArrow(run, out)
 
 
 class Scorer:
