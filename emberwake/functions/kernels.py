@@ -72,6 +72,20 @@ def clip(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
     return out
 
 
+def _convex(ring: np.ndarray) -> np.ndarray | None:
+    """The ring open and counter-clockwise if it is convex and winds once, else None."""
+    r = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+    step = np.roll(r, -1, axis=0) - r
+    after = np.roll(step, -1, axis=0)
+    turn = step[:, 0] * after[:, 1] - step[:, 1] * after[:, 0]
+    if not ((turn >= 0).all() or (turn <= 0).all()):
+        return None
+    angle = np.arctan2(turn, (step * after).sum(1)).sum()
+    if abs(abs(angle) - 2 * math.pi) > 1e-6:
+        return None
+    return r if angle > 0 else r[::-1]
+
+
 def clipped_area(polygons: list, convex: np.ndarray, project=None) -> float:
     """Area of a multipolygon (polygon -> ring -> points; the first ring is the outer one) inside a convex ring."""
     if area(convex) == 0:
@@ -82,7 +96,8 @@ def clipped_area(polygons: list, convex: np.ndarray, project=None) -> float:
     total = 0.0
     for rings in polygons:
         for k, ring in enumerate(rings):
-            part = clip(np.asarray(ring, float), convex)
+            open_ = _convex(np.asarray(ring, float))
+            part = clip(np.asarray(ring, float), convex) if open_ is None or len(open_) >= len(convex) else clip(convex, open_)
             if len(part) > 2:
                 total += (1 if k == 0 else -1) * area(project(part) if project else part)
     return max(0.0, total)
