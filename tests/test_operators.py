@@ -28,18 +28,19 @@ def brute_components(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("n,m", [(40, 25), (120, 130)])
-def test_components(spark, n, m):
+@pytest.mark.parametrize("n,m,few", [(40, 25, 0), (120, 130, 0), (120, 130, 1000)])
+def test_components(spark, n, m, few):
     rng = random.Random(n)
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
-    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long"), few=few).collect()))
     linked = [e for e in edges if e[0] != e[1]]
     assert got == brute_components({x for e in linked for x in e}, linked)
 
 
 def test_components_of_a_chain_and_of_nothing(spark):
     chain = [(i, i + 1) for i in range(70)]
-    assert {r.component for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()} == {0}
+    for few in (0, 1000):
+        assert {r.component for r in connected_components(spark.createDataFrame(chain, "src long, dst long"), few=few).collect()} == {0}
     assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "src long, dst long")).count() == 0
 
 
