@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,10 +12,18 @@ SLICE = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Short slices, so that only few texts at a time exist as Python objects."""
+    """Short slices, so that only few texts at a time exist as Python objects. At the end, freed memory goes back to the system: workers live on."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that the allocators hold back to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -42,7 +52,7 @@ class Memo(dict):
         return value
 
 
-def summed(rows, value: str = "double", group: tuple[str, ...] = ("part",)):
+def summed(rows, value: str = "double", total_value: str | None = None):
     """rows(part int, counts binary) of equal-sized numpy arrays -> one row for each part, added up as they stream in."""
     import numpy as np
 
@@ -50,7 +60,7 @@ def summed(rows, value: str = "double", group: tuple[str, ...] = ("part",)):
         total = None
         for b in batches:
             for row in b.column("counts"):
-                one = np.frombuffer(row.as_buffer(), value)
+                one = np.frombuffer(row.as_buffer(), value).astype(total_value or value)
                 total = one.copy() if total is None else total + one
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
 

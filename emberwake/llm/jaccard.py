@@ -7,9 +7,11 @@ size are one group; postings exist for groups only. Pairs of groups that share a
 are filtered by size and by position, expanded to members and verified exactly on the whole sets.
 
 The result is the classes of linked documents, so no more pairs are made than it takes to know
-them: first each group of a posting list is paired with the list's smallest group alone (a star),
-and once those links are known, whatever pairs of a list stand in different classes. In a list of
-near copies of one text this leaves a few pairs in place of all. No list is gathered in a task.
+them: first each group of a posting list is paired with one group of the list alone (a star), for a few
+rounds with other hubs, and once those links are known, whatever pairs of a list stand in different
+classes. In a list of near copies of one text this leaves a few pairs in place of all. No list is
+gathered in a task. Before whole sets are fetched for a pair, the numbers of their shingles in each
+of SLOTS hash slots bound what they can share, so that most pairs that do not link end there.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from .shingles import mixed, shingle_sets
 SKETCH_BITS = 20
 WANTED_BITS = 23
 PARTS = 64
+SLOTS = 256
+#: Rounds of stars before the pairs that are left.
+STARS = 3
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -48,9 +53,9 @@ def _sketch(own: DataFrame, k: int) -> np.ndarray:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=width).astype(np.uint64)
         if total.any():
             rows = total.reshape(PARTS, -1)
-            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
+            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary())], ["part", "counts"])
 
-    rows = summed(own.select("text").mapInArrow(count, "part int, counts binary"), "uint64").collect()
+    rows = summed(own.select("text").mapInArrow(count, "part int, counts binary"), "<u4", "uint64").collect()
     total = np.ones(width, np.uint64)
     for part, counts in rows:
         total[part * (width // PARTS) : (part + 1) * (width // PARTS)] = np.frombuffer(counts, np.uint64)
@@ -59,13 +64,13 @@ def _sketch(own: DataFrame, k: int) -> np.ndarray:
 
 
 def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
-    """(doc_id, n, member, grp, prefix) of each row: member and grp are hashes of the set, and of size and prefix."""
+    """(doc_id, n, member, grp, prefix, slots) of each row: member and grp are hashes of the set, and of size and prefix."""
     spread = own.sparkSession.sparkContext.broadcast(_sketch(own, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = spread.value
         for b in slices(batches):
-            n, member, group, prefix = [], [], [], []
+            n, member, group, prefix, slots = [], [], [], [], []
             for s in shingle_sets(raw_texts(b), k):
                 n.append(len(s))
                 if len(s):
@@ -74,13 +79,15 @@ def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
                     member.append(int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
                     group.append(int(mixed(np.array([mixed(p + np.uint64(len(s))).sum()], np.uint64)).view(np.int64)[0]))
                     prefix.append(p.view(np.int64))
+                    slots.append(np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype("<u2").tobytes())
                 else:
+                    slots.append(None)
                     member.append(None)
                     group.append(None)
                     prefix.append(None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(member, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "member", "grp", "prefix"])
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(member, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "n", "member", "grp", "prefix", "slots"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, n long, member long, grp long, prefix array<long>")
+    return own.mapInArrow(run, f"doc_id {kind}, n long, member long, grp long, prefix array<long>, slots binary")
 
 
 def _near(a_n, b_n, a_pos, b_pos, percent: int) -> F.Column:
@@ -109,18 +116,37 @@ def _sets(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     kind = own.schema["doc_id"].dataType.simpleString()
     found = own.withColumn("bit", bit).mapInArrow(run, f"doc_id {kind}, hashes array<long>")
     # A repeated id with another text gives another member: the set's size and content are kept apart by the join's check.
-    joined = found.join(wanted, "doc_id").where(F.size("hashes") == F.col("n"))
-    return joined.groupBy("member").agg(F.first("hashes").alias("hashes"))
+    return found.join(wanted, "doc_id").where(F.size("hashes") == F.col("n")).select("member", "hashes")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b), those that reach the threshold on their whole sets."""
+def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b), those whose slots allow the threshold: they share at most the smaller number of each slot."""
+    one = members.select(F.col("member").alias("a"), F.col("n").alias("an"), F.col("slots").alias("as"))
+    two = members.select(F.col("member").alias("b"), F.col("n").alias("bn"), F.col("slots").alias("bs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("as", "bs"))
+            share = np.minimum(x, y).sum(1, dtype=np.int64)
+            most = share * (100 + percent) >= (b.column("an").to_numpy() + b.column("bn").to_numpy()) * percent
+            yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(most))
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs(a, b), those that reach the threshold on their whole sets, which are made again for these members alone."""
+    left = cut(_possible(pairs, members, percent))
+    if left.isEmpty():
+        return left
+    wanted = left.select(F.col("a").alias("member")).union(left.select("b")).distinct()
+    sets = cut(_sets(own, cut(members.join(wanted, "member", "left_semi").select("doc_id", "member", "n")), k))
     one = sets.select(F.col("member").alias("a"), F.col("hashes").alias("a_hashes"))
     two = sets.select(F.col("member").alias("b"), F.col("hashes").alias("b_hashes"))
-    both = pairs.join(one, "a").join(two, "b")
+    both = left.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
     union = F.size("a_hashes") + F.size("b_hashes") - F.col("shared")
-    return both.select("a", "b", "a_hashes", "b_hashes", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b")
+    return both.select("a", "b", "a_hashes", "b_hashes", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b").distinct()
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,38 +159,49 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     kind = docs.select(docs[id_col]).schema[0].dataType.simpleString()
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = cut(_members(own, k, percent, kind))
-    members = cut(rows.where("member is not null").groupBy("member", "grp", "n").agg(F.min("doc_id").alias("doc_id")))
-    postings = rows.where("member is not null").groupBy("grp", "n").agg(F.first("prefix").alias("prefix")).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    found = rows.where("member is not null")
+    members = cut(found.groupBy("member", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("slots").alias("slots")))
+    postings = found.groupBy("grp", "n").agg(F.first("prefix").alias("prefix")).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     often = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = cut(postings.join(often.hint("shuffle_hash"), "token", "left_semi"))
+    # Groups of several members are lists of their own: each member shares the whole prefix.
+    several = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
 
+    # Pairs of groups, by the first star; filtered, then expanded to members.
     hubs = shared.groupBy("token").agg(F.min(F.struct("grp", "n", "pos")).alias("h"))
     groups = shared.join(hubs, "token").where(F.col("grp") != F.col("h.grp")).where(_near(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"), percent)).select("grp", F.col("h.grp").alias("hub")).distinct()
-    left = members.select(F.col("grp"), F.col("member").alias("x"))
+    left = members.select("grp", F.col("member").alias("x"))
     right = members.select(F.col("grp").alias("hub"), F.col("member").alias("y"))
     expanded = groups.join(left, "grp").join(right, "hub").select("x", "y")
-    # A group of several members: each with the smallest.
-    several = members.groupBy("grp").agg(F.min("member").alias("y"), F.count("*").alias("c")).where("c > 1")
-    within = members.join(several, "grp").where("member != y").select(F.col("member").alias("x"), "y")
-    stars = cut(expanded.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-    touched = shared.select("grp").union(several.select("grp")).distinct()
-    sets = cut(_sets(own, members.join(touched, "grp", "left_semi").select("doc_id", "member", "n"), k))
-    links = cut(_verified(stars, sets, percent))
+    least = members.groupBy("grp").agg(F.min("member").alias("y"))
+    within = members.join(several, "grp", "left_semi").join(least, "grp").where("member != y").select(F.col("member").alias("x"), "y")
+    tried = cut(expanded.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    links = cut(_verified(tried, own, members, k, percent))
     classes = connected_components(links, "a", "b")
 
-    # What the stars left open: pairs of one list in different classes.
-    named = members.join(classes, members["member"] == classes["node"], "left").select("member", "grp", "n", F.coalesce("component", "member").alias("cls"))
+    # Stars with other hubs, between classes only; then all pairs of a list that still stand in different classes.
     lists = shared.select("token", "grp", "pos").union(several.select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos")))
-    spread = cut(lists.join(named, "grp").select("token", "member", "n", "pos", "cls"))
-    open_ = spread.groupBy("token").agg(F.min("cls").alias("l"), F.max("cls").alias("m")).where("l != m").select("token")
-    rest = spread.join(open_, "token", "left_semi")
-    one = rest.select("token", F.col("member").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("cls").alias("xc"))
-    two = rest.select("token", F.col("member").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("cls").alias("yc"))
-    crossing = one.join(two, "token").where("xc < yc").where(_near(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = cut(_verified(crossing.join(stars, ["a", "b"], "left_anti"), sets, percent))
-    if not more.isEmpty():
-        classes = connected_components(links.union(more), "a", "b")
+    lists = lists.join(members.select("grp", "member", "n"), "grp").select("token", "member", "n", "pos")
+    for turn in range(1, STARS + 1):
+        named = lists.join(classes, lists["member"] == classes["node"], "left").select("token", "member", "n", "pos", F.coalesce("component", "member").alias("cls"))
+        open_ = named.groupBy("token").agg(F.min("cls").alias("l"), F.max("cls").alias("m")).where("l != m").select("token")
+        lists = cut(named.join(open_, "token", "left_semi"))
+        one = lists.select("token", F.col("member").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("cls").alias("xc"))
+        if turn < STARS:
+            order = F.xxhash64("member", F.lit(turn))
+            two = lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("member").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("cls").alias("yc"))).alias("h")).select("token", "h.*")
+            apart = "xc != yc"
+        else:
+            two = lists.select("token", F.col("member").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("cls").alias("yc"))
+            apart = "xc < yc"
+        crossing = one.join(two, "token").where(apart).where(_near(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        crossing = cut(crossing.join(tried, ["a", "b"], "left_anti"))
+        lists = lists.drop("cls")
+        more = cut(_verified(crossing, own, members, k, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            classes = connected_components(links, "a", "b")
+        tried = tried.union(crossing)
 
     whole = members.join(classes, members["member"] == classes["node"], "left").select("member", "doc_id", F.coalesce("component", "member").alias("cls"))
     least = whole.groupBy("cls").agg(F.min("doc_id").alias("component_id"))
