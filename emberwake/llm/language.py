@@ -160,7 +160,7 @@ def train(docs: DataFrame, model_file: str, rounds: int = 1, text_col: str = "te
                 for text, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True):
                     counts[number[lang]].update(words_of(text))
                 seen = True
-                if sum(map(len, counts)) > 300_000:
+                if sum(map(len, counts)) > 150_000:
                     add()
             add()
             if seen:
@@ -221,7 +221,7 @@ class Scorer:
         self.logs = np.zeros((0, self.model.probability.shape[1]))
 
     def totals(self, batch: list[str]) -> list[np.ndarray | None]:
-        if len(self.place) > 600_000:
+        if len(self.place) > 250_000:
             self.clear()
         words = [words_of(t) for t in batch]
         new = list({w for ws in words for w in ws if w not in self.place})

@@ -332,7 +332,7 @@ class PieceBpe:
 
     def found_all(self, batch: list[str]) -> Iterator[list[tuple[str, int, str]]]:
         """For each text, of each segment: ids as text, their number, the decoded text."""
-        if len(self.segments) > 600_000:
+        if len(self.segments) > 300_000:
             self.segments.clear()
         cut = [self.cut.findall(f" {t}".replace(" ", SPACE)) if t else [] for t in batch]
         new = [s for s in set(chain.from_iterable(cut)) if s not in self.segments]

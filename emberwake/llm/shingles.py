@@ -43,10 +43,24 @@ def word_hashes(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(firsts, starts, "right") - 1
 
 
+#: Bytes of text hashed at once, about; a longer text is hashed alone.
+CHUNK = 1 << 20
+
+
 def shingle_sets(batch: list[bytes], k: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; with fewer words, of the whole sequence; none without words."""
-    if not batch:
-        return []
+    out, at = [], 0
+    while at < len(batch):
+        end, size = at + 1, len(batch[at])
+        while end < len(batch) and size + len(batch[end]) <= CHUNK:
+            size += len(batch[end])
+            end += 1
+        out += _sets(batch[at:end], k)
+        at = end
+    return out
+
+
+def _sets(batch: list[bytes], k: int) -> list[np.ndarray]:
     h, text = word_hashes(batch)
     counts = np.bincount(text, minlength=len(batch))
     n = len(h) - k + 1
