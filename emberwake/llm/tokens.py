@@ -13,8 +13,10 @@ uint32 ids; then rules x (uint32 left, uint32 right), rules x uint32 expansion l
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ ROUNDS = 4
 #: White space of the tokenizer's pattern. Python's split() knows four more characters.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{SPACES}]+")
+#: Characters below this are plain Latin: normal form C leaves them, and lower case is one to one.
+PLAIN = 0x130
 _MORE = re.compile("[\x1c-\x1f]")
 #: Broadcast the blocks' starts only below this number of blocks; beyond it they are joined by a shuffle.
 FEW_BLOCKS = 100_000
@@ -125,10 +129,12 @@ class Grammar:
 
 
 class Words:
-    """A tokenizers file with a memo of the ids of words.
+    """A tokenizers file with memos of the ids of parts between white space, and of words.
 
     Its pattern never spans white space and its normalizer works on each part alike, so that the
-    ids of a text are those of its parts between white space, one after another.
+    ids of a text are those of its parts, one after another. New parts of plain Latin characters,
+    which composition leaves as they are, are put in lower case and cut into words by the same
+    pattern here, and only new words go to the library, without the steps already done. All other parts go to it whole.
     """
 
     def __init__(self, file: str):
@@ -138,18 +144,65 @@ class Words:
         self.tokenizer = Tokenizer.from_file(file)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        tree = json.loads(self.tokenizer.to_str())
+        first, *rest = tree["pre_tokenizer"]["pretokenizers"]
+        steps = [n["type"] for n in tree["normalizer"]["normalizers"]]
+        if steps != ["NFC", "Replace", "Lowercase"] or first["type"] != "Split" or not first["invert"] or first["behavior"] != "Removed":
+            raise ValueError("a tokenizer of other steps")
+        # The pattern for the characters below PLAIN, with its classes written out: parts hold no white space.
+        pattern, plain = first["pattern"]["Regex"], [chr(c) for c in range(PLAIN)]
+        for name in ("L", "N"):
+            pattern = pattern.replace(rf"\p{{{name}}}", "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == name))
+        self.pattern = re.compile(pattern.replace(r"\s", ""))
+        # Added tokens are found in the raw text, so parts that may hold one go the long way.
+        self.marks = {t["content"][:2] for t in tree["added_tokens"]}
+        #: Words parted by spaces, many in one call; each ends with a token of the end-of-word suffix, and no other token has it.
+        self.plain = Tokenizer.from_str(json.dumps(tree | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
+        suffix = tree["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.size, bool)
+        for token, i in self.plain.get_vocab(with_added_tokens=False).items():
+            self.last[i] = token.endswith(suffix)
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, new: list[str], into: dict[str, bytes]) -> None:
+        """Of words, by one call for many."""
+        width = np.dtype(self.kind).itemsize
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * width).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a word of the pattern has no single end")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                into[w] = raw[start:end]
+                start = end
+
+    def _learn(self, new: list[str]) -> None:
+        whole, cut = [], []
+        for w in new:
+            if max(w) < chr(PLAIN) and not any(m in w for m in self.marks):
+                cut.append((w, self.pattern.findall(w.lower())))
+            else:
+                whole.append(w)
+        if len(self.words) > 300_000:
+            self.words.clear()
+        words = self.words
+        self._ids([x for x in set().union(*[p for _, p in cut]) if x not in words], words)
+        for w, parts in cut:
+            self.known[w] = b"".join([words[x] for x in parts])
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         if len(self.known) > 600_000:
             self.known.clear()
         parts = [_CHUNK.findall(t) if _MORE.search(t) else t.split() for t in batch]
         known = self.known
-        new = [w for w in {w for p in parts for w in p if w not in known}]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+        new = [w for w in set().union(*parts) if w not in known]
+        if new:
+            self._learn(new)
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for w in new:
             if len(w) > 64:
