@@ -68,13 +68,20 @@ def _keys(ids: np.ndarray) -> np.ndarray:
     return (ids[:-1] << BITS) | ids[1:]
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros((len(distinct), 2), np.int64)
-    both = np.concatenate(counts)
-    for k in range(2):
-        total[:, k] = np.bincount(place, both[:, k], len(distinct))
-    return distinct, total
+def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often they occur."""
+    s = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums counts of sorted runs by key."""
+    keys, counts = (np.concatenate(z) for z in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
 def score_documents(docs: DataFrame, targets: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", target_col: str = "doc_id") -> DataFrame:
@@ -97,30 +104,35 @@ def score_documents(docs: DataFrame, targets: DataFrame, model_file: str, id_col
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces, wanted = pieces_of(model_file), set(right.column("doc_id").to_pylist())
-        keys, counts, fresh, held = [], [], [], 0
+        # Of all documents, then of the target's: counted runs, and keys not counted yet.
+        runs: list[list] = [[], []]
+        fresh: list[list] = [[], []]
+        held = 0
 
         def add() -> None:
-            if fresh:
-                k = np.concatenate([_keys(x) for x, _ in fresh])
-                c = np.ones((len(k), 2), np.int64)
-                c[:, 1] = np.repeat([t for _, t in fresh], [len(x) - 1 for x, _ in fresh])
-                a, b = _merged(keys + [k], counts + [c])
-                keys[:], counts[:] = [a], [b]
-                fresh.clear()
+            for r, f in zip(runs, fresh, strict=True):
+                if f:
+                    r[:] = [_merged([*r, _counted(f)])]
+                    f.clear()
 
         for batch in left.to_batches(max_chunksize=512):
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = pieces.encode(t or "")
-                fresh.append((ids, int(i in wanted)))
-                held += len(ids)
-                if held > 2_000_000:
+                keys = _keys(pieces.encode(t or ""))
+                fresh[0].append(keys)
+                if i in wanted:
+                    fresh[1].append(keys)
+                held += len(keys)
+                if held > 4_000_000:
                     add()
                     held = 0
         add()
-        if not keys:
+        if not runs[0]:
             return pa.table({"block": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "t": pa.array([], pa.int64())})
-        block = left.column("block")[0].as_py()
-        return pa.table({"block": pa.array(np.full(len(keys[0]), block, np.int32)), "key": keys[0], "n": counts[0][:, 0], "t": counts[0][:, 1]})
+        key, n = runs[0][0]
+        of_target = np.zeros(len(key), np.int64)
+        if runs[1]:
+            of_target[np.searchsorted(key, runs[1][0][0])] = runs[1][0][1]
+        return pa.table({"block": pa.array(np.full(len(key), left.column("block")[0].as_py(), np.int32)), "key": key, "n": n, "t": of_target})
 
     counted = dealt.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(count, "block int, key long, n long, t long")
     asked = cut(counted.repartition("key"))
@@ -137,27 +149,31 @@ def score_documents(docs: DataFrame, targets: DataFrame, model_file: str, id_col
     for r in token:
         tokens[:, r[0]] = r[1:]
     unigram = (tokens + ADDED) / (tokens.sum(1) + ADDED * size)[:, None]
-    given = spark.sparkContext.broadcast((contexts, unigram))
+    some = np.maximum(contexts[:2], 1)
+    # Of each context: one over its count, and the share that goes to the unigrams.
+    given = spark.sparkContext.broadcast((1 / some, np.where(contexts[:2] > 0, DISCOUNT * contexts[2:] / some, 1.0), unigram))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces, (contexts, unigram) = pieces_of(model_file), given.value
+        pieces, (inverse, rest, unigram) = pieces_of(model_file), given.value
         order = np.argsort(right.column("key").to_numpy())
         key = right.column("key").to_numpy()[order]
         counts = [right.column(c).to_numpy()[order] for c in ("n", "t")]
         out: list[list] = [[], [], []]
-        for batch in left.to_batches(max_chunksize=512):
-            for t in batch.column("text").to_pylist():
-                ids = pieces.encode(t or "")
-                at = np.searchsorted(key, _keys(ids))
-                a, b = ids[:-1], ids[1:]
-                for k in range(2):
-                    seen = contexts[k][a]
-                    some = np.maximum(seen, 1)
-                    p = np.maximum(counts[k][at] - DISCOUNT, 0) / some + np.where(seen > 0, DISCOUNT * contexts[2 + k][a] / some, 1.0) * unigram[k][b]
-                    out[k].append(-float(np.log(p).mean()))
-                out[2].append(len(b))
-        base, target, n = out
-        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": pa.array(target, pa.float64()), "background_loss": pa.array(base, pa.float64())})
+        for batch in left.to_batches(max_chunksize=256):
+            ids = [pieces.encode(t or "") for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) - 1 for x in ids])
+            starts = np.cumsum(sizes) - sizes
+            a, b = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
+            wanted = (a << BITS) | b
+            order = np.argsort(wanted)
+            at = np.empty(len(order), np.int64)
+            at[order] = np.searchsorted(key, wanted[order])
+            for k in range(2):
+                p = np.maximum(counts[k][at] - DISCOUNT, 0) * inverse[k][a] + rest[k][a] * unigram[k][b]
+                out[k].append(-np.add.reduceat(np.log(p), starts) / sizes)
+            out[2].append(sizes)
+        base, target, n = (np.concatenate(z) if z else np.zeros(0) for z in out)
+        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n.astype(np.int64), pa.int64()), "target_loss": pa.array(target, pa.float64()), "background_loss": pa.array(base, pa.float64())})
 
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
