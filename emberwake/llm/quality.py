@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     rows = docs.select(docs[id_col].alias("_doc"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("y", "text")
     # Repeated rows of one id may be many: their number is bounded as well.
     found = _statistics(rows).limit(2 * most).toPandas()
-    x = np.array(found["x"].tolist(), float).reshape(len(found), -1)
+    x = np.array(found["x"].tolist(), float).reshape(len(found), len(statistics("")))
     order = np.lexsort((*x.T[:3], found["y"].to_numpy())) if len(found) else np.zeros(0, np.int64)
     return fit(x[order], found["y"].to_numpy(float)[order])
 
