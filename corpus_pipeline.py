@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwake.llm import language, mixing, pieces, secrets
-from emberwake.llm.jaccard import jaccard_classes
+from emberwake.llm.jaccard import jaccard_rows, text_key
 from emberwake.llm.queries import tokenizer_file
-from emberwake.session import checkpoint_dir
+from emberwake.session import checkpoint_dir, cut
 
 #: A language less sure than this is a rejection, as is a text without a letter.
 LEAST_SCORE = 0.4
@@ -25,11 +25,26 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near copies; a repeated id stays once."""
-    first = jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).select(*docs.columns)
+    """One document of each class of near copies: of smallest id, or without id if none has one.
+
+    Rows are told apart by id and text, so a repeated id with another text, and rows without an id, stay if no
+    other row is their near copy. A row repeated with its id stays once. Texts without words are copies of nothing.
+    """
+    names = docs.columns
+    rows = cut(jaccard_rows(docs).select("doc_id", "text_key", "n_shingles", "class_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")
+    linked = rows.where("n_shingles > 0").groupBy("class_id").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_key").distinct()
+    first = linked.union(alone).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    keyed = docs.withColumn("_text_key", text_key(F.col("text").cast("string")))
+    kept = keyed.join(first, same, "left_semi")
+    repeated = rows.where("doc_id is not null or n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    repeated = repeated.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    if repeated.isEmpty():
+        return kept.select(*names)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).select(*names)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ from .shingles import mixed, shingle_sets
 #: Width of the count sketch and of the map of wanted documents. Fixed sizes: wider is only faster.
 SKETCH_BITS = 20
 WANTED_BITS = 23
+#: Rows that a task remembers to have hashed; beyond, it forgets them.
+DONE = 65_536
 PARTS = 64
 SLOTS = 256
 #: Rounds of stars before the pairs that are left.
@@ -41,6 +43,11 @@ def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _member(s: np.ndarray) -> int:
+    """The hash that names a set that is not empty."""
+    return int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
 def _sketch(own: DataFrame, k: int) -> np.ndarray:
     """For each hash bucket, how much more often than the mean it occurs: one byte, logarithmic. 1 MB in all."""
     width = 1 << SKETCH_BITS
@@ -64,7 +71,7 @@ def _sketch(own: DataFrame, k: int) -> np.ndarray:
 
 
 def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
-    """(doc_id, n, member, grp, prefix, slots) of each row: member and grp are hashes of the set, and of size and prefix."""
+    """(doc_id, text_key, n, member, grp, prefix, slots) of each row: member and grp are hashes of the set, and of size and prefix."""
     spread = own.sparkSession.sparkContext.broadcast(_sketch(own, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +83,7 @@ def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
                 if len(s):
                     order = np.argsort(rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     p = s[order[: _prefix(len(s), percent)]]
-                    member.append(int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
+                    member.append(_member(s))
                     group.append(int(mixed(np.array([mixed(p + np.uint64(len(s))).sum()], np.uint64)).view(np.int64)[0]))
                     prefix.append(p.view(np.int64))
                     slots.append(np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype("<u2").tobytes())
@@ -85,9 +92,9 @@ def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
                     member.append(None)
                     group.append(None)
                     prefix.append(None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(member, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "n", "member", "grp", "prefix", "slots"])
+            yield pa.record_batch([b.column(0), b.column("text_key"), pa.array(n, pa.int64()), pa.array(member, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "text_key", "n", "member", "grp", "prefix", "slots"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, n long, member long, grp long, prefix array<long>, slots binary")
+    return own.mapInArrow(run, f"doc_id {kind}, text_key long, n long, member long, grp long, prefix array<long>, slots binary")
 
 
 def _near(a_n, b_n, a_pos, b_pos, percent: int) -> F.Column:
@@ -97,8 +104,9 @@ def _near(a_n, b_n, a_pos, b_pos, percent: int) -> F.Column:
 
 
 def _sets(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(member, hashes) for wanted(doc_id, member). A fixed-size map of wanted ids spares most other texts the work."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << WANTED_BITS))
+    """(member, hashes) for wanted(doc_id, text_key, member), one row each. A fixed-size map of wanted rows spares most others the work."""
+    row = F.xxhash64("doc_id", "text_key")
+    bit = F.pmod(row, F.lit(1 << WANTED_BITS))
     cell = wanted.select(F.shiftright(bit, 12).alias("part"), (bit % 4096).cast("int").alias("bit")).distinct()
     rows = cell.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # 2048 rows of 4096 bits at most
     marks = np.zeros(1 << WANTED_BITS, bool)
@@ -108,15 +116,22 @@ def _sets(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wants = np.unpackbits(packed.value)
+        done: set[int] = set()
         for batch in batches:
-            for b in slices(iter([batch.filter(pa.array(wants[batch.column("bit").to_numpy()].astype(bool)))])):
-                sets = shingle_sets(raw_texts(b), k)
-                yield pa.record_batch([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "hashes"])
-
-    kind = own.schema["doc_id"].dataType.simpleString()
-    found = own.withColumn("bit", bit).mapInArrow(run, f"doc_id {kind}, hashes array<long>")
-    # A repeated id with another text gives another member: the set's size and content are kept apart by the join's check.
-    return found.join(wanted, "doc_id").where(F.size("hashes") == F.col("n")).select("member", "hashes")
+            keys = batch.column("row").to_numpy()
+            keep = np.zeros(len(keys), bool)
+            for i in np.flatnonzero(wants[keys & ((1 << WANTED_BITS) - 1)]).tolist():
+                if (key := int(keys[i])) not in done:  # repeated rows are hashed once
+                    keep[i] = True
+                    if len(done) >= DONE:
+                        done.clear()
+                    done.add(key)
+            for b in slices(iter([batch.filter(pa.array(keep))])):
+                sets = [s for s in shingle_sets(raw_texts(b), k) if len(s)]
+                yield pa.record_batch([pa.array([_member(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["member", "hashes"])
+
+    found = own.select(row.alias("row"), "text").mapInArrow(run, "member long, hashes array<long>")
+    return found.join(wanted.select("member"), "member", "left_semi").dropDuplicates(["member"])
 
 
 def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -140,7 +155,7 @@ def _verified(pairs: DataFrame, own: DataFrame, members: DataFrame, k: int, perc
     if left.isEmpty():
         return left
     wanted = left.select(F.col("a").alias("member")).union(left.select("b")).distinct()
-    sets = cut(_sets(own, cut(members.join(wanted, "member", "left_semi").select("doc_id", "member", "n")), k))
+    sets = cut(_sets(own, cut(members.join(wanted, "member", "left_semi").select("doc_id", "text_key", "member")), k))
     one = sets.select(F.col("member").alias("a"), F.col("hashes").alias("a_hashes"))
     two = sets.select(F.col("member").alias("b"), F.col("hashes").alias("b_hashes"))
     both = left.join(one, "a").join(two, "b")
@@ -156,11 +171,25 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     nothing. Repeated rows, and rows of equal sets, are one member. A row with a null id counts for links and
     gets the class of its text. Members are told apart by 64-bit hashes of their sets.
     """
+    return jaccard_rows(docs, percent, k, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def text_key(text: str | F.Column) -> F.Column:
+    """The 64-bit hash that stands for a text where ids may be null or repeated."""
+    return F.xxhash64(text)
+
+
+def jaccard_rows(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As jaccard_classes(), with text_key of each row's text and class_id, which is null without shingles.
+
+    Classes of equal component_id differ in class_id if an id is repeated with another text, or if no row of theirs has an id.
+    """
     kind = docs.select(docs[id_col]).schema[0].dataType.simpleString()
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    text = docs[text_col].cast("string")
+    own = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
     rows = cut(_members(own, k, percent, kind))
     found = rows.where("member is not null")
-    members = cut(found.groupBy("member", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.first("slots").alias("slots")))
+    members = cut(found.groupBy("member", "grp", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("row"), F.first("slots").alias("slots")).select("member", "grp", "n", "row.doc_id", "row.text_key", "slots"))
     postings = found.groupBy("grp", "n").agg(F.first("prefix").alias("prefix")).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     often = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = cut(postings.join(often.hint("shuffle_hash"), "token", "left_semi"))
@@ -205,6 +234,6 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
 
     whole = members.join(classes, members["member"] == classes["node"], "left").select("member", "doc_id", F.coalesce("component", "member").alias("cls"))
     least = whole.groupBy("cls").agg(F.min("doc_id").alias("component_id"))
-    known = whole.join(least, "cls").select("member", "component_id")
-    out = rows.select("doc_id", "n", "member").join(known, "member", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = whole.join(least, "cls").select("member", "component_id", F.col("cls").alias("class_id"))
+    out = rows.select("doc_id", "text_key", "n", "member").join(known, "member", "left")
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "class_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
