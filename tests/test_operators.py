@@ -176,3 +176,32 @@ def test_config(tmp_path):
     p.write_text("quality: {typo: 1}")
     with pytest.raises(ValueError):
         load_config(p)
+
+
+def brute_silhouette(rows):
+    by = {}
+    for _, l, f in rows:
+        by.setdefault(l, []).append(f)
+    each = []
+    for _, l, f in rows:
+        m = {o: sum(math.dist(f, g) for g in fs) / (len(fs) - (o == l) or 1) for o, fs in by.items()}
+        a, b = m.pop(l), min(m.values())
+        each.append(0.0 if len(by[l]) == 1 else (b - a) / max(a, b))
+    return sum(each) / len(each)
+
+
+@pytest.mark.parametrize("size", [1 << 26, 24 * 50])
+def test_silhouette_of_all_rows_in_passes(spark, size):
+    """Clusters that passes and blocks cut, a lone row, and many small clusters."""
+    rng = random.Random(2)
+    rows = [(i, 0 if i < 1 else 1 if i < 160 else 2 + i % 60, [rng.gauss(i % 5, 1) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, label int, features array<double>")
+    assert score.silhouette(df, pass_bytes=size).first()[0] == pytest.approx(brute_silhouette(rows))
+
+
+def test_silhouette_does_not_sample(spark):
+    """Beyond 20,000 rows: two far pairs of clusters, the value is that of all rows in closed form."""
+    n = 10_500
+    df = spark.range(2 * n + 2).select(F.col("id").alias("key"), F.when(F.col("id") < 2 * n, (F.col("id") % 2).cast("int")).otherwise(2).alias("label"), F.array(F.when(F.col("id") < 2 * n, F.col("id") % 2 * 10.0).otherwise(F.lit(13.0) + 4 * (F.col("id") % 2))).alias("features"))
+    near = (3.0 - 4.0) / 4.0, (7.0 - 4.0) / 7.0
+    assert score.silhouette(df).first()[0] == pytest.approx((2 * n + sum(near)) / (2 * n + 2), abs=1e-12)
