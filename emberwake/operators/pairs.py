@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def eps_pairs(df: DataFrame, widths: dict[str, float], within: Column, key: str = "point_id", same: tuple[str, ...] = ()) -> DataFrame:
-    """(src, dst) with src < dst, equal `same` columns and `within`, an expression over a.<col> and b.<col>.
+def eps_pairs(df: DataFrame, widths: dict[str, float], within: Column, key: str = "point_id", same: tuple[str, ...] = (), also: dict[str, Column] | None = None) -> DataFrame:
+    """(src, dst) with src < dst, equal `same` columns and `within`, an expression over a.<col> and b.<col>, and the columns of `also`.
 
     widths: for each column the distance beyond which `within` never holds. One side is repeated in
     the neighbouring cells of which it is the smaller: half of them, so that each pair of cells is
@@ -28,7 +28,7 @@ def eps_pairs(df: DataFrame, widths: dict[str, float], within: Column, key: str
     joined = a.join(b, equal)
     once = ~F.col("a._own") | (F.col(f"a.{key}") < F.col(f"b.{key}"))
     hit = joined.where(once & (F.col(f"a.{key}") != F.col(f"b.{key}")) & within)
-    return hit.select(F.least(f"a.{key}", f"b.{key}").alias("src"), F.greatest(f"a.{key}", f"b.{key}").alias("dst"))
+    return hit.select(F.least(f"a.{key}", f"b.{key}").alias("src"), F.greatest(f"a.{key}", f"b.{key}").alias("dst"), *[c.alias(n) for n, c in (also or {}).items()])
 
 
 def _zero(n: int) -> Column:

@@ -14,6 +14,8 @@ from .registry import query, rounded
 from .views import D, E_BOX, ORDER_EPISODES, P, Z_BOX, G, episode_boxes, grouped, order_episodes, prepared, zone_boxes
 
 CFG = Clustering()
+#: Ranges of config.yaml:40-42.
+GRID_KM, GRID_DAYS, GRID_SAMPLES = [1.0, 2.0, 3.0, 5.0], [1.0, 2.0, 3.0, 5.0, 7.0], [2, 3, 5]
 _T = "epoch_us(acq_datetime) / 8.64e10"
 _PT = f"{P}, q AS (SELECT *, {_T} AS t FROM p)"
 _DIST = "sqrt((a.x_proj-b.x_proj)*(a.x_proj-b.x_proj)+(a.y_proj-b.y_proj)*(a.y_proj-b.y_proj))"
@@ -127,8 +129,8 @@ def merge_daynight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores without the silhouette for a few combinations."""
-    return db.grid_search(prepared(spark, sf_dir), [1.0, 2.0], [1.0], [2, 3], lambda labels: None)
+    """The reference's grid: 4 distances, 5 times and 3 numbers of samples."""
+    return db.grid_search(prepared(spark, sf_dir), GRID_KM, GRID_DAYS, GRID_SAMPLES)
 
 
 @query(f"WITH {D} SELECT point_id, round(longitude - 0.01, 6) AS west, round(latitude + 0.01, 6) AS north FROM d")

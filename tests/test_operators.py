@@ -205,3 +205,29 @@ def test_silhouette_does_not_sample(spark):
     df = spark.range(2 * n + 2).select(F.col("id").alias("key"), F.when(F.col("id") < 2 * n, (F.col("id") % 2).cast("int")).otherwise(2).alias("label"), F.array(F.when(F.col("id") < 2 * n, F.col("id") % 2 * 10.0).otherwise(F.lit(13.0) + 4 * (F.col("id") % 2))).alias("features"))
     near = (3.0 - 4.0) / 4.0, (7.0 - 4.0) / 7.0
     assert score.silhouette(df).first()[0] == pytest.approx((2 * n + sum(near)) / (2 * n + 2), abs=1e-12)
+
+
+def test_grid_search_scores_each_combination(spark):
+    """Against DBSCAN of each combination by itself, with the silhouette of all clustered rows."""
+    rng = random.Random(7)
+    start = dt.datetime(2024, 1, 1)
+    pts = [(i, (i % 6) * 9000 + rng.uniform(-1500, 1500), rng.uniform(-1500, 1500), start + dt.timedelta(days=rng.uniform(0, 9))) for i in range(90)]
+    df = spark.createDataFrame(pts, "point_id long, x_proj double, y_proj double, acq_datetime timestamp")
+    got = dbscan.grid_search(df, [1.0, 3.0], [2.0, 7.0], [2, 5]).collect()
+    assert [(r.eps_km, r.eps_days, r.min_samples) for r in got] == [(a, b, m) for a in (1.0, 3.0) for b in (2.0, 7.0) for m in (2, 5)]
+    for r in got:
+        labels = dbscan.drop_small(dbscan.dbscan(df, dbscan.neighbours_combined(df, r.eps_km, r.eps_days), r.min_samples), max(3, r.min_samples))
+        of = {x.point_id: x.cluster for x in labels.collect()}
+        rows = [(i, of[i], (x / 1000, y / 1000, (t - start).total_seconds() / 86400)) for i, x, y, t in pts if of[i] is not None]
+        k, noise = len({x[1] for x in rows}), 1 - len(rows) / len(pts)
+        s = brute_silhouette(rows) if k > 1 and len(rows) > 10 else -1.0
+        assert (r.n_clusters, r.noise_ratio, r.silhouette) == (k, pytest.approx(noise), pytest.approx(s))
+        assert r.score == pytest.approx(0.5 * s + 0.3 * (1 - noise) + 0.2 * min(1, k / 100))
+
+
+def test_grid_search_query_runs_the_whole_grid(spark, monkeypatch):
+    from emberwake.plans import clusters
+
+    monkeypatch.setattr(clusters, "prepared", lambda *a: None)
+    monkeypatch.setattr(clusters.db, "grid_search", lambda df, *grid: grid)
+    assert clusters.grid_search(spark, "") == ([1, 2, 3, 5], [1, 2, 3, 5, 7], [2, 3, 5])
