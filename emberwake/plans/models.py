@@ -157,7 +157,7 @@ def consensus_tuple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return md.RUNNERS[name](points(spark, sf_dir)).select("key", F.col("label").cast("long").alias("label"))
+        return md.RUNNERS[name](points(spark, sf_dir, None)).select("key", F.col("label").cast("long").alias("label"))
 
     run.__name__ = name
     return query()(run)
@@ -169,27 +169,27 @@ for _name in md.RUNNERS:
 
 @query()
 def pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.pca(points(spark, sf_dir), 4)
+    return md.pca(points(spark, sf_dir, None), 4)
 
 
 @query()
 def select_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.try_k(points(spark, sf_dir), range(2, 6))
+    return md.try_k(points(spark, sf_dir, None), range(2, 11))
 
 
 @query()
 def stability_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.bootstrap(points(spark, sf_dir), 4, rounds=3)
+    return md.bootstrap(points(spark, sf_dir, None), 4)
 
 
 @query()
 def model_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.suite(points(spark, sf_dir), ks=(3, 4), algorithms=("kmeans", "gmm_diag", "hierarchical"))
+    return md.suite(points(spark, sf_dir, None))
 
 
 @query()
 def knn_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.knn(points(spark, sf_dir), 4)
+    return md.knn(points(spark, sf_dir, None), 4)
 
 
 @query()

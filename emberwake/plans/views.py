@@ -99,7 +99,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("bal"), "n", "mean_price", "max_price", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey").cast("double")).alias("holes"), F.lit(1.0).alias("same"), (F.col("c_nationkey") % 5).cast("int").alias("label"))
 
 
-def points(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """Vectors' first n fields as features, with the given label."""
+def points(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+    """Vectors' first n fields as features, or all, with the given label. The oracles of the indices are over 8 fields."""
     e = table(spark, sf_dir, "embeddings")
+    if n is None:
+        return e.select(F.col("vec_id").alias("key"), "label", F.col("embedding").cast("array<double>").alias("features"))
     return e.select(F.col("vec_id").alias("key"), "label", F.slice(F.col("embedding").cast("array<double>"), 1, n).alias("features"))

@@ -231,3 +231,17 @@ def test_grid_search_query_runs_the_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(clusters, "prepared", lambda *a: None)
     monkeypatch.setattr(clusters.db, "grid_search", lambda df, *grid: grid)
     assert clusters.grid_search(spark, "") == ([1, 2, 3, 5], [1, 2, 3, 5, 7], [2, 3, 5])
+
+
+def test_model_queries_run_the_whole_job(spark, sf_dir, monkeypatch):
+    """2 to 10 clusters, every algorithm, 10 resamples, over all fields of each vector."""
+    from emberwake.plans import QUERIES
+    from emberwake.plans import models as plans
+
+    seen = {}
+    for name in ("try_k", "suite", "bootstrap", "knn"):
+        monkeypatch.setattr(plans.md, name, lambda points, *a, _name=name, **k: seen.update({_name: (score.dims(points), a, k)}))
+    for query in ("select_k", "model_suite", "stability_bootstrap", "knn_self_join"):
+        QUERIES[query](spark, sf_dir)
+    n = len(spark.read.parquet(f"{sf_dir}/embeddings.parquet").first().embedding)
+    assert seen == {"try_k": (n, (range(2, 11),), {}), "suite": (n, (), {}), "bootstrap": (n, (4,), {}), "knn": (n, (4,), {})}
