@@ -13,6 +13,7 @@ whole model; only the unigram totals (one per piece of the fixed vocabulary) go
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .arrow import raw_texts
+from .words import IdMemo, WordTable, chunks, mixed
 
 #: Characters of text in a block, about.
 BLOCK = 12_000_000
@@ -32,7 +35,7 @@ ADDED = 0.5
 
 
 class Pieces:
-    """Piece ids of words by a SentencePiece model, with a memo. Words are what white space parts."""
+    """Piece ids of words by a SentencePiece model, with a memo. Words are what ASCII white space parts."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -41,22 +44,29 @@ class Pieces:
         self.size = self.sp.get_piece_size()
         if self.size > 1 << BITS:
             raise ValueError("the vocabulary is too large for the keys of bigrams")
-        self.known: dict[str, bytes] = {}
+        self.memo = IdMemo(self._make, "<u2")
+
+    def _make(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.sp.encode(words, num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), "<u2", int(sizes.sum())), sizes
+
+    def bigrams(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of the bigrams of all texts one after another, number of bigrams of each): each text stands between BEGIN and END."""
+        ids, sizes = self.memo.encode(batch)
+        begins = np.cumsum(sizes + 2) - sizes - 2
+        whole = np.empty(len(ids) + 2 * len(batch), np.uint32)
+        inside = np.ones(len(whole), bool)
+        inside[begins] = inside[begins + sizes + 1] = False
+        whole[begins], whole[begins + sizes + 1], whole[inside] = BEGIN, END, ids
+        follows = np.ones(len(whole), bool)
+        follows[begins] = False
+        return ((whole[:-1] << BITS) | whole[1:])[follows[1:]], sizes + 1
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text between BEGIN and END."""
-        if len(self.known) > 600_000:
-            self.known.clear()
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            for w, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-                self.known[w] = np.array(ids, "<u2").tobytes()
-        out = np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u2")
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
-        return np.concatenate([[BEGIN], out, [END]]).astype(np.int64)
+        keys, _ = self.bigrams([text.encode()])
+        return np.append(keys >> BITS, keys[-1] & ((1 << BITS) - 1)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -64,13 +74,9 @@ def pieces_of(model_file: str) -> Pieces:
     return Pieces(model_file)
 
 
-def _keys(ids: np.ndarray) -> np.ndarray:
-    return (ids[:-1] << BITS) | ids[1:]
-
-
 def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often they occur."""
-    s = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    s = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     return s[first], np.diff(np.append(first, len(s)))
 
@@ -97,7 +103,8 @@ def score_documents(docs: DataFrame, targets: DataFrame, model_file: str, id_col
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK))
     place = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(blocks)).cast("int")
-    dealt = own.withColumn("block", place(own["doc_id"]))
+    # rows without an id are in no target set and may lie anywhere
+    dealt = own.withColumn("block", F.when(own["doc_id"].isNull(), place(own["text"])).otherwise(place(own["doc_id"])))
     named = targets.select(targets[target_col].alias("doc_id")).where("doc_id is not null").distinct()
     named = named.withColumn("block", place(named["doc_id"]))
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -116,11 +123,13 @@ def score_documents(docs: DataFrame, targets: DataFrame, model_file: str, id_col
                     f.clear()
 
         for batch in left.to_batches(max_chunksize=512):
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys = _keys(pieces.encode(t or ""))
+            named, raw = batch.column("doc_id").to_pylist(), raw_texts(batch)
+            for i, j in chunks(raw):
+                keys, sizes = pieces.bigrams(raw[i:j])
                 fresh[0].append(keys)
-                if i in wanted:
-                    fresh[1].append(keys)
+                marked = np.fromiter((x in wanted for x in named[i:j]), bool, j - i)
+                if marked.any():
+                    fresh[1].append(keys[np.repeat(marked, sizes)])
                 held += len(keys)
                 if held > 4_000_000:
                     add()
@@ -132,7 +141,7 @@ def score_documents(docs: DataFrame, targets: DataFrame, model_file: str, id_col
         of_target = np.zeros(len(key), np.int64)
         if runs[1]:
             of_target[np.searchsorted(key, runs[1][0][0])] = runs[1][0][1]
-        return pa.table({"block": pa.array(np.full(len(key), left.column("block")[0].as_py(), np.int32)), "key": key, "n": n, "t": of_target})
+        return pa.table({"block": pa.array(np.full(len(key), left.column("block")[0].as_py(), np.int32)), "key": key.astype(np.int64), "n": n, "t": of_target})
 
     counted = dealt.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(count, "block int, key long, n long, t long")
     asked = cut(counted.repartition("key"))
@@ -155,23 +164,21 @@ def score_documents(docs: DataFrame, targets: DataFrame, model_file: str, id_col
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces, (inverse, rest, unigram) = pieces_of(model_file), given.value
-        order = np.argsort(right.column("key").to_numpy())
-        key = right.column("key").to_numpy()[order]
-        counts = [right.column(c).to_numpy()[order] for c in ("n", "t")]
+        key = right.column("key").to_numpy()
+        a, b = key >> BITS, key & ((1 << BITS) - 1)
+        # of each bigram of the block: its losses, and its place by a hash
+        losses = [-np.log(np.maximum(right.column(c).to_numpy() - DISCOUNT, 0) * inverse[k][a] + rest[k][a] * unigram[k][b]) for k, c in enumerate(("n", "t"))]
+        table = WordTable(max(10, (2 * len(key)).bit_length()))
+        table.add(mixed(key.astype(np.uint64)))
         out: list[list] = [[], [], []]
-        for batch in left.to_batches(max_chunksize=256):
-            ids = [pieces.encode(t or "") for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(x) - 1 for x in ids])
-            starts = np.cumsum(sizes) - sizes
-            a, b = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
-            wanted = (a << BITS) | b
-            order = np.argsort(wanted)
-            at = np.empty(len(order), np.int64)
-            at[order] = np.searchsorted(key, wanted[order])
-            for k in range(2):
-                p = np.maximum(counts[k][at] - DISCOUNT, 0) * inverse[k][a] + rest[k][a] * unigram[k][b]
-                out[k].append(-np.add.reduceat(np.log(p), starts) / sizes)
-            out[2].append(sizes)
+        for batch in left.to_batches(max_chunksize=512):
+            raw = raw_texts(batch)
+            for i, j in chunks(raw):
+                keys, sizes = pieces.bigrams(raw[i:j])
+                at = table.find(mixed(keys.astype(np.uint64)))
+                for k in range(2):
+                    out[k].append(np.add.reduceat(losses[k][at], np.cumsum(sizes) - sizes) / sizes)
+                out[2].append(sizes)
         base, target, n = (np.concatenate(z) if z else np.zeros(0) for z in out)
         return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n.astype(np.int64), pa.int64()), "target_loss": pa.array(target, pa.float64()), "background_loss": pa.array(base, pa.float64())})
 

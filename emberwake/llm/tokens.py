@@ -28,7 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .arrow import slices, texts
+from .arrow import raw_texts, slices
+from .words import IdMemo, chunks
 
 MAGIC = b"RPG1"
 BLOCK = 1 << 20
@@ -36,12 +37,10 @@ BLOCK = 1 << 20
 FREQUENT = 16
 EACH_ROUND = 8192
 ROUNDS = 4
-#: White space of the tokenizer's pattern. Python's split() knows four more characters.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[^{SPACES}]+")
 #: Characters below this are plain Latin: normal form C leaves them, and lower case is one to one.
 PLAIN = 0x130
-_MORE = re.compile("[\x1c-\x1f]")
+#: White space of the tokenizer's pattern below PLAIN that is not ASCII.
+_WIDE = re.compile("[\x85\xa0]")
 #: Broadcast the blocks' starts only below this number of blocks; beyond it they are joined by a shuffle.
 FEW_BLOCKS = 100_000
 
@@ -62,8 +61,14 @@ def compress(ids: np.ndarray, base: int) -> bytes:
         if len(often) > EACH_ROUND:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:EACH_ROUND]])
         chosen = kinds[often]
-        at = np.searchsorted(chosen, pairs)
-        hit = chosen[np.minimum(at, len(chosen) - 1)] == pairs
+        # Only pairs whose symbols are both in a chosen pair, each on its side, are looked up.
+        sides = np.zeros((2, len(lengths)), bool)
+        sides[0, chosen >> 24] = sides[1, chosen & 0xFFFFFF] = True
+        maybe = np.flatnonzero(sides[0, seq[:-1]] & sides[1, seq[1:]])
+        found = np.searchsorted(chosen, pairs[maybe])
+        real = chosen[np.minimum(found, len(chosen) - 1)] == pairs[maybe]
+        hit, at = np.zeros(len(pairs), bool), np.zeros(len(pairs), np.int64)
+        hit[maybe[real]], at[maybe[real]] = True, found[real]
         # Overlapping pairs: every other one of a run, from the left.
         place = np.arange(len(hit))
         start = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), place, 0))
@@ -129,7 +134,7 @@ class Grammar:
 
 
 class Words:
-    """A tokenizers file with memos of the ids of parts between white space, and of words.
+    """A tokenizers file with memos of the ids of parts between ASCII white space, and of words.
 
     Its pattern never spans white space and its normalizer works on each part alike, so that the
     ids of a text are those of its parts, one after another. New parts of plain Latin characters,
@@ -149,7 +154,7 @@ class Words:
         steps = [n["type"] for n in tree["normalizer"]["normalizers"]]
         if steps != ["NFC", "Replace", "Lowercase"] or first["type"] != "Split" or not first["invert"] or first["behavior"] != "Removed":
             raise ValueError("a tokenizer of other steps")
-        # The pattern for the characters below PLAIN, with its classes written out: parts hold no white space.
+        # The pattern for the characters below PLAIN, with its classes written out: parts that are cut by it hold no white space.
         pattern, plain = first["pattern"]["Regex"], [chr(c) for c in range(PLAIN)]
         for name in ("L", "N"):
             pattern = pattern.replace(rf"\p{{{name}}}", "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == name))
@@ -162,7 +167,7 @@ class Words:
         self.last = np.zeros(self.size, bool)
         for token, i in self.plain.get_vocab(with_added_tokens=False).items():
             self.last[i] = token.endswith(suffix)
-        self.known: dict[str, bytes] = {}
+        self.memo = IdMemo(self._make, self.kind)
         self.words: dict[str, bytes] = {}
 
     def _ids(self, new: list[str], into: dict[str, bytes]) -> None:
@@ -179,34 +184,34 @@ class Words:
                 into[w] = raw[start:end]
                 start = end
 
-    def _learn(self, new: list[str]) -> None:
-        whole, cut = [], []
-        for w in new:
-            if max(w) < chr(PLAIN) and not any(m in w for m in self.marks):
-                cut.append((w, self.pattern.findall(w.lower())))
+    def _make(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, and how many each has."""
+        whole, cut = {}, {}
+        for i, w in enumerate(new):
+            if max(w) < chr(PLAIN) and not _WIDE.search(w) and not any(m in w for m in self.marks):
+                cut[i] = self.pattern.findall(w.lower())
             else:
-                whole.append(w)
+                whole[i] = w
         if len(self.words) > 300_000:
             self.words.clear()
         words = self.words
-        self._ids([x for x in set().union(*[p for _, p in cut]) if x not in words], words)
-        for w, parts in cut:
-            self.known[w] = b"".join([words[x] for x in parts])
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
+        self._ids([x for x in set().union(*cut.values()) if x not in words], words)
+        found = {i: b"".join([words[x] for x in parts]) for i, parts in cut.items()}
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, self.kind).tobytes()
+        runs = [found[i] for i in range(len(new))]
+        return np.frombuffer(b"".join(runs), self.kind), np.fromiter(map(len, runs), np.int64, len(runs)) // np.dtype(self.kind).itemsize
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self.known) > 600_000:
-            self.known.clear()
-        parts = [_CHUNK.findall(t) if _MORE.search(t) else t.split() for t in batch]
-        known = self.known
-        new = [w for w in set().union(*parts) if w not in known]
-        if new:
-            self._learn(new)
-        out = [b"".join(map(known.__getitem__, p)) for p in parts]
-        for w in new:
-            if len(w) > 64:
-                del known[w]
+        """Ids of each text as bytes of `kind`."""
+        return self.encode_raw([t.encode() for t in batch])
+
+    def encode_raw(self, batch: list[bytes]) -> list[bytes]:
+        out, width = [], np.dtype(self.kind).itemsize
+        for a, b in chunks(batch):
+            ids, sizes = self.memo.encode(batch[a:b])
+            raw, ends = ids.tobytes(), (np.cumsum(sizes) * width).tolist()
+            out += [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
         return out
 
 
@@ -241,7 +246,7 @@ def write_tokens(docs: DataFrame, file: str, path: str, end_id: int = 2, id_col:
 
         for b in slices(batches):
             id_type = b.schema.field("doc_id").type
-            for i, raw in zip(b.column("doc_id").to_pylist(), words.encode(texts(b)), strict=True):
+            for i, raw in zip(b.column("doc_id").to_pylist(), words.encode_raw(raw_texts(b)), strict=True):
                 raw += end
                 n = len(raw) // np.dtype(words.kind).itemsize
                 if held and held + n > BLOCK:

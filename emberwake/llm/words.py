@@ -108,3 +108,78 @@ class WordTable:
             left[one] = False
             rest = rest[left]
         self.count += len(h)
+
+
+#: Words looked up at once. No fewer than a chunk of several texts may hold, so that only a longer text, which is alone, is cut here.
+RUN = CHUNK // 2
+
+
+class WordMemo:
+    """Numbers of words, and what a subclass learns of each new one. Forgotten when the table is half full: a memo, never a limit on results."""
+
+    def __init__(self, bits: int = 20):
+        self.table = WordTable(bits)
+        self.forget()
+
+    def forget(self) -> None:
+        self.table.clear()
+
+    def full(self) -> bool:
+        return False
+
+    def learn(self, words: list[str]) -> None:
+        """Called with new words, in the order of their numbers."""
+
+    def numbers(self, run: WordRun, a: int, b: int) -> np.ndarray:
+        """Of the words a..b of a run; good until the next call."""
+        h = run.hashes[a:b]
+        at = self.table.find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh, one = np.unique(h[new], return_index=True)
+            where = a + new[one]
+            if self.full() or self.table.count + len(fresh) > 1 << (self.table.bits - 1):
+                self.forget()
+                fresh, one = np.unique(h, return_index=True)
+                where = a + one
+            self.learn([run.word(i).decode() for i in where.tolist()])
+            self.table.add(fresh)
+            at = self.table.find(h)
+        return at
+
+
+class IdMemo(WordMemo):
+    """Token ids of words by make(words) -> (ids one after another, number of ids of each)."""
+
+    def __init__(self, make, kind: str, bits: int = 20, most: int = 1 << 22):
+        self.make, self.kind, self.most = make, kind, most
+        super().__init__(bits)
+
+    def forget(self) -> None:
+        super().forget()
+        self.ids, self.held = np.zeros(1 << 16, self.kind), 0
+        self.first, self.size = np.zeros(1 << (self.table.bits - 1), np.int64), np.zeros(1 << (self.table.bits - 1), np.int64)
+
+    def full(self) -> bool:
+        return self.held > self.most
+
+    def learn(self, words: list[str]) -> None:
+        ids, sizes = self.make(words)
+        if self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.held], np.zeros(max(len(ids), self.held), self.kind)])
+        self.ids[self.held : self.held + len(ids)] = ids
+        at = slice(self.table.count, self.table.count + len(words))
+        self.first[at], self.size[at] = self.held + np.cumsum(sizes) - sizes, sizes
+        self.held += len(ids)
+
+    def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text)."""
+        run, ids, sizes = WordRun(batch), [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+        for a in range(0, len(run.hashes), RUN):
+            at = self.numbers(run, a, a + RUN)
+            n = self.size[at]
+            ends = np.cumsum(n)
+            ids.append(self.ids[np.repeat(self.first[at] - ends + n, n) + np.arange(ends[-1])])
+            sizes.append(n)
+        ends = np.cumsum(np.concatenate(sizes))
+        return np.concatenate(ids), np.diff(ends[run.bounds])
