@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,15 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .arrow import slices, summed, texts
+from .arrow import raw_texts, slices, summed
 from .pieces import SPACE, Trie
+from .words import RUN, WordMemo, WordRun, chunks
 
 UNDETERMINED = "und"
 #: Probability of a character outside the vocabulary, and what is added to each expected count.
 ALONE = 1e-7
 ADDED = 0.05
-#: Longer words are scored in pieces of this size.
+#: Longer words are summed in logs, as products of so many probabilities may be below the least double.
 LONGEST = 32
+#: Letters of long words summed at once, about.
+LETTERS = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 SLICE = 1024
 
@@ -66,7 +68,7 @@ class Lattice:
         end, piece = np.concatenate([end, lone]), np.concatenate([piece, np.full(len(lone), self.size, np.int64)])
         word = np.searchsorted(starts, end, "right") - 1
         place = end - starts[word]
-        order = np.lexsort((end, place))
+        order = np.argsort(place * len(codes) + end, kind="stable")
         end, piece, word, place = end[order], piece[order], word[order], place[order]
         return starts, sizes, end - self.length[piece] + 1, end, piece, word, place
 
@@ -85,24 +87,94 @@ class Lattice:
             alpha[to[first]] = np.add.reduceat(values, first)
         return alpha, alpha[starts + sizes + np.arange(len(starts))]
 
+    def forward_logs(self, lattice, logs: np.ndarray):
+        """As forward(), in logs."""
+        starts, sizes, begin, end, piece, word, place = lattice
+        alpha = np.full((int(starts[-1] + sizes[-1]) + len(starts) + 1, logs.shape[1]), -np.inf)
+        alpha[starts + np.arange(len(starts))] = 0.0
+        for a, b in _groups(place):
+            to = end[a:b] + word[a:b] + 1
+            first = np.flatnonzero(np.diff(to, prepend=-1))
+            alpha[to[first]] = _log_sums(alpha[begin[a:b] + word[a:b]] + logs[piece[a:b]], first)
+        return alpha, alpha[starts + sizes + np.arange(len(starts))]
+
+    def log_totals(self, words: list[str], probability: np.ndarray) -> np.ndarray:
+        """Logs of the sums over all segmentations, a row for each word."""
+        out = np.zeros((len(words), probability.shape[1]))
+        for some, long in _dealt(words):
+            lattice = self.edges([words[i] for i in some])
+            out[some] = self.forward_logs(lattice, np.log(probability))[1] if long else np.log(self.forward(lattice, probability)[1])
+        return out
+
+    def expected_counts(self, words: list[str], weights: np.ndarray, probability: np.ndarray) -> np.ndarray:
+        """As expected(), for words of any length."""
+        out = np.zeros_like(probability)
+        for some, long in _dealt(words):
+            own = [words[i] for i in some]
+            out += self._expected_logs(own, weights[some], np.log(probability)) if long else self.expected(own, weights[some], probability)
+        return out
+
+    def _expected_logs(self, words: list[str], weights: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        lattice = self.edges(words)
+        starts, sizes = lattice[:2]
+        alpha, whole = self.forward_logs(lattice, logs)
+        beta = np.full_like(alpha, -np.inf)
+        beta[starts + sizes + np.arange(len(starts))] = -whole
+        at, to, piece, groups = self._backward(lattice)
+        for a, b, first in groups:
+            beta[at[a:b][first]] = _log_sums(beta[to[a:b]] + logs[piece[a:b]], first)
+        owner = np.searchsorted(starts + np.arange(len(starts)), at, "right") - 1
+        return self._uses(piece, np.exp(alpha[at] + beta[to] + logs[piece]) * weights[owner], logs)
+
     def expected(self, words: list[str], weights: np.ndarray, probability: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece for each language; weights: counts of words by language."""
         lattice = self.edges(words)
-        starts, sizes, begin, end, piece, word, place = lattice
+        starts, sizes = lattice[:2]
         alpha, whole = self.forward(lattice, probability)
         beta = np.zeros_like(alpha)
         beta[starts + sizes + np.arange(len(starts))] = np.divide(weights, whole, out=np.zeros_like(whole), where=whole > 0)
-        out = np.zeros_like(probability)
-        for a, b in reversed(_groups(place)):
-            to = end[a:b] + word[a:b] + 1
-            back = beta[to] * probability[piece[a:b]]
-            at = begin[a:b] + word[a:b]
-            for k in range(out.shape[1]):
-                out[:, k] += np.bincount(piece[a:b], alpha[at, k] * back[:, k], len(out))
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            beta[at[order][first]] += np.add.reduceat(back[order], first)
-        return out
+        at, to, piece, groups = self._backward(lattice)
+        for a, b, first in groups:
+            beta[at[a:b][first]] = np.add.reduceat(beta[to[a:b]] * probability[piece[a:b]], first)
+        return self._uses(piece, alpha[at] * beta[to] * probability[piece], probability)
+
+    def _backward(self, lattice):
+        """(entry of the begin, entry of the end, piece) of all pieces by the place of their begin, last first, and the runs of one place."""
+        starts, sizes, begin, end, piece, word, place = lattice
+        before = begin - starts[word]
+        order = np.argsort(begin - before * (int(starts[-1] + sizes[-1]) + 1), kind="stable")
+        at, to = (begin + word)[order], (end + word + 1)[order]
+        groups = [(a, b, np.flatnonzero(np.diff(at[a:b], prepend=-1))) for a, b in _groups(before[order])]
+        return at, to, piece[order], groups
+
+    def _uses(self, piece: np.ndarray, uses: np.ndarray, probability: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(piece, column, len(probability)) for column in np.ascontiguousarray(uses.T)], 1)
+
+
+def _log_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Logs of sums over runs of rows that begin at first."""
+    most = np.maximum.reduceat(values, first)
+    return most + np.log(np.add.reduceat(np.exp(values - np.repeat(most, np.diff(np.append(first, len(values))), axis=0)), first))
+
+
+def _dealt(words: list[str]) -> Iterator[tuple[list[int], bool]]:
+    """Places of words that are summed together, short ones and long ones apart."""
+    short, long, letters = [], [], 0
+    for i, w in enumerate(words):
+        if len(w) <= LONGEST:
+            short.append(i)
+            if len(short) == 20_000:
+                yield short, False
+                short = []
+            continue
+        if long and letters + len(w) > LETTERS:
+            yield long, True
+            long, letters = [], 0
+        long.append(i)
+        letters += len(w)
+    for some, kind in ((short, False), (long, True)):
+        if some:
+            yield some, kind
 
 
 def _groups(place: np.ndarray) -> list[tuple[int, int]]:
@@ -116,11 +188,40 @@ def lattice_of(model_file: str) -> Lattice:
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a whole text, in lower case, each with its space; long ones in pieces."""
-    found = WORD.findall(text.lower())
-    if found and max(map(len, found)) >= LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    """The words of a text, in lower case: its runs of letters. White space parts them, so a text's are those of its parts."""
+    return WORD.findall(text.lower())
+
+
+class _Counts(WordMemo):
+    """Uses of parts between white space by language, and the expected counts of pieces drawn from them."""
+
+    def __init__(self, lattice: Lattice, probability: np.ndarray):
+        self.lattice, self.probability, self.total = lattice, probability, np.zeros_like(probability)
+        self.parts: list[str] = []
+        super().__init__(20)
+
+    def learn(self, words: list[str]) -> None:
+        self.parts += words
+
+    def forget(self) -> None:
+        if self.parts:
+            place: dict[str, int] = {}
+            pairs = [(i, place.setdefault(w, len(place))) for i, part in enumerate(self.parts) for w in words_of(part)]
+            if pairs:
+                part, word = np.array(pairs).T
+                weights = np.zeros((len(place), self.uses.shape[1]))
+                np.add.at(weights, word, self.uses[part])
+                self.total += self.lattice.expected_counts([SPACE + w for w in place], weights, self.probability)
+        super().forget()
+        self.parts = []
+        self.uses = np.zeros((1 << (self.table.bits - 1), self.probability.shape[1]))
+
+    def count(self, batch: list[bytes], languages: np.ndarray) -> None:
+        run, width = WordRun(batch), self.probability.shape[1]
+        of = np.repeat(languages, np.diff(run.bounds))
+        for a in range(0, len(run.hashes), RUN):
+            at = self.numbers(run, a, a + RUN)
+            np.add.at(self.uses.reshape(-1), at * width + of[a : a + RUN], 1.0)
 
 
 @dataclass(frozen=True)
@@ -143,26 +244,14 @@ def train(docs: DataFrame, model_file: str, rounds: int = 1, text_col: str = "te
         number = {v: k for k, v in enumerate(languages)}
 
         def count(batches: Iterator[pa.RecordBatch], given=given, number=number) -> Iterator[pa.RecordBatch]:
-            lattice, p = lattice_of(model_file), given.value
-            total, counts = np.zeros_like(p), [Counter() for _ in number]
-
-            def add() -> None:
-                names = list(set().union(*counts))
-                for at in range(0, len(names), 20_000):
-                    some = names[at : at + 20_000]
-                    weights = np.array([[c[w] for c in counts] for w in some], float)
-                    np.add(total, lattice.expected([SPACE + w for w in some], weights, p), out=total)
-                for c in counts:
-                    c.clear()
-
-            seen = False
+            counts, seen = _Counts(lattice_of(model_file), given.value), False
             for b in slices(batches):
-                for text, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True):
-                    counts[number[lang]].update(words_of(text))
+                raw, languages = raw_texts(b), np.array([number[v] for v in b.column("lang").to_pylist()], np.int64)
+                for i, j in chunks(raw):
+                    counts.count(raw[i:j], languages[i:j])
                 seen = True
-                if sum(map(len, counts)) > 150_000:
-                    add()
-            add()
+            counts.forget()
+            total = counts.total
             if seen:
                 padded = np.zeros((-(-size // SLICE) * SLICE, total.shape[1]))
                 padded[:size] = total
@@ -195,7 +284,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         scorer = Scorer(m)
         for b in slices(batches):
             names, scores = [], []
-            for ll in scorer.totals(texts(b, name)):
+            for ll in scorer.totals(raw_texts(b, name)):
                 if ll is None or not m.languages:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
@@ -209,41 +298,41 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return own.mapInArrow(run, out)
 
 
-class Scorer:
-    """Log probabilities of texts, with a memo of words."""
+class Scorer(WordMemo):
+    """Log probabilities of texts, with a memo of their parts between white space."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.lattice = model, lattice_of(model.model_file)
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.logs = np.zeros((0, self.model.probability.shape[1]))
-
-    def totals(self, batch: list[str]) -> list[np.ndarray | None]:
-        if len(self.place) > 250_000:
-            self.clear()
-        words = [words_of(t) for t in batch]
-        new = list({w for ws in words for w in ws if w not in self.place})
-        if new:
-            logs = []
-            for at in range(0, len(new), 20_000):
-                found = self.lattice.forward(self.lattice.edges([SPACE + w for w in new[at : at + 20_000]]), self.model.probability)[1]
-                logs.append(np.log(np.maximum(found, 1e-300)))
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            held = len(self.place) - len(new)
-            if len(self.logs) < len(self.place):
-                grown = np.zeros((max(len(self.place), 2 * len(self.logs)), self.logs.shape[1]))
-                grown[:held] = self.logs[:held]
-                self.logs = grown
-            self.logs[held : len(self.place)] = np.concatenate(logs)
-        out = []
-        for ws in words:
-            # \w has numerals that are no letters
-            if not ws or not any(c.isalpha() for w in ws for c in w):
-                out.append(None)
-            else:
-                out.append(self.logs[np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))].sum(0))
+        super().__init__(21)
+
+    def forget(self) -> None:
+        super().forget()
+        size = 1 << (self.table.bits - 1)
+        self.logs, self.letters = np.zeros((size, self.model.probability.shape[1])), np.zeros(size, bool)
+
+    def learn(self, words: list[str]) -> None:
+        first, place = self.table.count, {}
+        pairs = [(i, place.setdefault(w, len(place))) for i, part in enumerate(words) for w in words_of(part)]
+        self.logs[first : first + len(words)] = 0.0
+        # \w has numerals that are no letters
+        self.letters[first : first + len(words)] = [any(map(str.isalpha, part)) for part in words]
+        if pairs:
+            part, word = np.array(pairs).T
+            np.add.at(self.logs, first + part, self.lattice.log_totals([SPACE + w for w in place], self.model.probability)[word])
+
+    def totals(self, batch: list[bytes]) -> list[np.ndarray | None]:
+        """Of each text the log probability by language, None without a letter."""
+        out: list[np.ndarray | None] = []
+        for i, j in chunks(batch):
+            run = WordRun(batch[i:j])
+            sums, letters = np.zeros((j - i, self.logs.shape[1])), np.zeros(j - i, bool)
+            for a in range(0, len(run.hashes), RUN):
+                at = self.numbers(run, a, a + RUN)
+                bounds = np.clip(run.bounds, a, a + len(at)) - a
+                some = np.flatnonzero(np.diff(bounds))
+                sums[some] += np.add.reduceat(self.logs[at], bounds[some])
+                letters[some] |= np.logical_or.reduceat(self.letters[at], bounds[some])
+            out += [x if known else None for x, known in zip(sums, letters, strict=True)]
         return out
 
 

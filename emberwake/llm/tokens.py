@@ -40,7 +40,7 @@ ROUNDS = 4
 #: Characters below this are plain Latin: normal form C leaves them, and lower case is one to one.
 PLAIN = 0x130
 #: White space of the tokenizer's pattern below PLAIN that is not ASCII.
-_WIDE = re.compile("[\x85\xa0]")
+_WIDE = "[\x85\xa0]"
 #: Broadcast the blocks' starts only below this number of blocks; beyond it they are joined by a shuffle.
 FEW_BLOCKS = 100_000
 
@@ -154,13 +154,14 @@ class Words:
         steps = [n["type"] for n in tree["normalizer"]["normalizers"]]
         if steps != ["NFC", "Replace", "Lowercase"] or first["type"] != "Split" or not first["invert"] or first["behavior"] != "Removed":
             raise ValueError("a tokenizer of other steps")
-        # The pattern for the characters below PLAIN, with its classes written out: parts that are cut by it hold no white space.
+        # The pattern for the characters below PLAIN, with its classes written out, and the space that parts are joined by.
         pattern, plain = first["pattern"]["Regex"], [chr(c) for c in range(PLAIN)]
         for name in ("L", "N"):
             pattern = pattern.replace(rf"\p{{{name}}}", "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == name))
-        self.pattern = re.compile(pattern.replace(r"\s", ""))
-        # Added tokens are found in the raw text, so parts that may hold one go the long way.
-        self.marks = {t["content"][:2] for t in tree["added_tokens"]}
+        self.pattern = re.compile(pattern.replace(r"\s", " ") + "| ")
+        # Added tokens are found in the raw text, so parts that may hold one go the long way, as do those of other characters or white space.
+        marks = "|".join(sorted({re.escape(t["content"][:2]) for t in tree["added_tokens"]}))
+        self.special = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]|{_WIDE}" + (f"|{marks}" if marks else ""))
         #: Words parted by spaces, many in one call; each ends with a token of the end-of-word suffix, and no other token has it.
         self.plain = Tokenizer.from_str(json.dumps(tree | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
         suffix = tree["model"]["end_of_word_suffix"]
@@ -186,21 +187,32 @@ class Words:
 
     def _make(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts, and how many each has."""
-        whole, cut = {}, {}
-        for i, w in enumerate(new):
-            if max(w) < chr(PLAIN) and not _WIDE.search(w) and not any(m in w for m in self.marks):
-                cut[i] = self.pattern.findall(w.lower())
-            else:
-                whole[i] = w
-        if len(self.words) > 300_000:
-            self.words.clear()
-        words = self.words
-        self._ids([x for x in set().union(*cut.values()) if x not in words], words)
-        found = {i: b"".join([words[x] for x in parts]) for i, parts in cut.items()}
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, self.kind).tobytes()
-        runs = [found[i] for i in range(len(new))]
-        return np.frombuffer(b"".join(runs), self.kind), np.fromiter(map(len, runs), np.int64, len(runs)) // np.dtype(self.kind).itemsize
+        joined, lengths = " ".join(new), np.fromiter(map(len, new), np.int64, len(new))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        hits = np.array([m.start() for m in self.special.finditer(joined)], np.int64)
+        long = np.zeros(len(new), bool)
+        long[np.searchsorted(starts, hits, "right") - 1] = True
+        runs, sizes = np.zeros(len(new), object), np.zeros(len(new), np.int64)
+        if not long.all():
+            if len(self.words) > 300_000:
+                self.words.clear()
+            words = self.words
+            text = " ".join([w for w, skip in zip(new, long.tolist(), strict=True) if not skip]) if len(hits) else joined
+            parts = self.pattern.findall(text.lower())
+            self._ids([x for x in set(parts) if x not in words and x != " "], words)
+            words[" "] = b""
+            found = list(map(words.__getitem__, parts))
+            counts = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            ends = np.append(np.flatnonzero(np.fromiter(map(" ".__eq__, parts), bool, len(parts))), len(parts) - 1)
+            raw, ends = b"".join(found), counts[ends]
+            sizes[~long] = np.diff(ends, prepend=0)
+            if not long.any():
+                return np.frombuffer(raw, self.kind), sizes // np.dtype(self.kind).itemsize
+            runs[~long] = [raw[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        whole = [w for w, skip in zip(new, long.tolist(), strict=True) if skip]
+        made = [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        runs[long], sizes[long] = made, list(map(len, made))
+        return np.frombuffer(b"".join(runs.tolist()), self.kind), sizes // np.dtype(self.kind).itemsize
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as bytes of `kind`."""
