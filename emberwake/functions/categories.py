@@ -22,19 +22,23 @@ def season(month: Column) -> Column:
 
 
 def confidence_category(c: Column) -> Column:
-    return banded(c, [(30, "Very Low"), (60, "Low"), (80, "Medium")], "High", null="Unknown")
+    # fixed values
+    return banded(c, [(30, "Very Low (<30%)"), (60, "Low (30-59%)"), (80, "Medium (60-79%)")], "High (≥80%)", null="Unknown")
 
 
 def size_category(area: Column) -> Column:
-    return banded(area, [(10, "Very Small"), (50, "Small"), (200, "Medium"), (500, "Large")], "Very Large")
+    # fixed values
+    return banded(area, [(10, "Very Small (<10 km²)"), (50, "Small (10-50 km²)"), (200, "Medium (50-200 km²)"), (500, "Large (200-500 km²)")], "Very Large (>500 km²)")
 
 
 def region_category(lon: Column) -> Column:
-    return banded(lon, [(-120, "Pacific Coast"), (-110, "Mountain West"), (-100, "Great Plains")], "Eastern")
+    # fixed values
+    return banded(lon, [(-120, "West Coast"), (-110, "Mountain West"), (-100, "Central West")], "Great Plains")
 
 
 def fire_strata(n: Column) -> Column:
-    return banded(n, [(0, "No Fire"), (5, "Rare"), (20, "Occasional"), (50, "Frequent")], "Very Frequent", right_closed=True)
+    # fixed values
+    return banded(n, [(0, "No Fire"), (5, "Rare Fire"), (20, "Occasional Fire"), (50, "Frequent Fire")], "Very Frequent Fire", right_closed=True)
 
 
 def acq_datetime(date: Column, hhmm: Column) -> Column:
@@ -66,27 +70,29 @@ def shape_index(area: Column, perimeter: Column) -> Column:
 
 
 def regime_name_b(frequency: Column, area: Column, frp: Column) -> Column:
-    """Name by mean episodes, mean burned area and mean intensity."""
-    return F.concat_ws(
-        " / ",
-        banded(frequency, [(5, "Low Frequency"), (15, "Moderate Frequency")], "High Frequency"),
+    """Name by mean episodes, mean burned area and mean intensity, such as `Low-Frequency Small-High-Intensity`. Fixed values."""
+    return F.concat(
+        banded(frequency, [(5, "Low"), (15, "Moderate")], "High"),
+        F.lit("-Frequency "),
         banded(area, [(10, "Small"), (50, "Medium")], "Large"),
-        banded(frp, [(50, "Low Intensity"), (100, "Moderate Intensity")], "High Intensity"),
+        F.lit("-"),
+        banded(frp, [(50, "Low-Intensity"), (100, "Moderate-Intensity")], "High-Intensity"),
     )
 
 
 def regime_name_c(episodes: Column, hsbf: Column, frp: Column, area: Column) -> Column:
+    """Name by frequency, impact, size and intensity, such as `Rare_Low-Impact_Small_High-Intensity`. Fixed values."""
     return F.concat_ws(
-        " ",
-        banded(episodes, [(3, "Rare"), (10, "Occasional"), (25, "Frequent")], "Very Frequent"),
-        banded(hsbf, [(0.05, "Minimal"), (0.15, "Low"), (0.30, "Moderate"), (0.50, "High")], "Extreme"),
-        banded(frp, [(30, "Cool"), (70, "Warm")], "Hot"),
+        "_",
+        banded(episodes, [(3, "Rare"), (10, "Occasional"), (25, "Frequent")], "Very-Frequent"),
+        banded(hsbf, [(0.05, "Minimal-Impact"), (0.15, "Low-Impact"), (0.30, "Moderate-Impact"), (0.50, "High-Impact")], "Extreme-Impact"),
         banded(area, [(5, "Small"), (20, "Medium")], "Large"),
+        banded(frp, [(30, "Low-Intensity"), (70, "Moderate-Intensity")], "High-Intensity"),
     )
 
 
 def stars(p: Column) -> Column:
-    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
 def ring_sum(ring: Column, term) -> Column:

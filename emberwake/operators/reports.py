@@ -14,7 +14,7 @@ def quantiles(df: DataFrame, column: str, levels: dict[str, float]) -> DataFrame
 
 def hsbf_bands(df: DataFrame, column: str = "hsbf") -> DataFrame:
     """Right-closed bands; zero has its own."""
-    b = banded(F.col(column), [(0, "none"), (0.1, "0-10"), (0.3, "10-30"), (0.5, "30-50"), (0.7, "50-70")], "70-100", right_closed=True)
+    b = banded(F.col(column), [(0, "none"), (0.1, "<10%"), (0.3, "10-30%"), (0.5, "30-50%"), (0.7, "50-70%")], ">70%", right_closed=True)  # fixed values
     return df.groupBy(b.alias("band")).agg(F.count("*").alias("n"))
 
 
@@ -54,9 +54,10 @@ def cluster_statistics(df: DataFrame, by: str) -> DataFrame:
 
 def quality_rules(df: DataFrame, by: str, max_days: float = 365, max_spread_km: float = 100, max_kmh: float = 50) -> DataFrame:
     """How many clusters last too long, are too wide or spread too fast, and the share of those that do none."""
-    long = F.floor(F.col("hours") / 24) > max_days
+    days = F.floor(F.col("hours") / 24)
+    long = days > max_days
     wide = F.coalesce(F.col("spread") > max_spread_km, F.lit(False))
-    fast = F.coalesce((F.col("n") > 5) & (F.try_divide("km", "hours") > max_kmh), F.lit(False))
+    fast = F.coalesce((F.col("n") > 5) & (F.try_divide(F.col("km"), days * 24) > max_kmh), F.lit(False))  # whole days, none under one
     return _extent(df, by).agg(F.count("*").alias("clusters"), F.count_if(long).alias("too_long"), F.count_if(wide).alias("too_wide"), F.count_if(fast).alias("too_fast"), (1 - F.try_divide(F.count_if(long | wide | fast), F.count("*"))).alias("quality_ratio"))
 
 

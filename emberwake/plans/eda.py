@@ -40,7 +40,7 @@ def season_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", cat.season(F.month("o_orderdate")).alias("season"))
 
 
-@query(f"WITH {D} SELECT point_id, CASE WHEN confidence >= 80 THEN 'High' WHEN confidence >= 60 THEN 'Medium' WHEN confidence >= 30 THEN 'Low' ELSE 'Very Low' END AS category FROM d")
+@query(f"WITH {D} SELECT point_id, CASE WHEN confidence >= 80 THEN 'High (≥80%)' WHEN confidence >= 60 THEN 'Medium (60-79%)' WHEN confidence >= 30 THEN 'Low (30-59%)' ELSE 'Very Low (<30%)' END AS category FROM d")
 def confidence_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("point_id", cat.confidence_category(F.col("confidence")).alias("category"))
 
@@ -82,18 +82,18 @@ def decimal_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.select("event_id", cat.decimals(s).alias("digits")))
 
 
-@query("SELECT p_partkey, CASE WHEN p_retailprice < 10 THEN 'Very Small' WHEN p_retailprice < 50 THEN 'Small' WHEN p_retailprice < 200 THEN 'Medium' WHEN p_retailprice < 500 THEN 'Large' ELSE 'Very Large' END AS category FROM part")
+@query("SELECT p_partkey, CASE WHEN p_retailprice < 10 THEN 'Very Small (<10 km²)' WHEN p_retailprice < 50 THEN 'Small (10-50 km²)' WHEN p_retailprice < 200 THEN 'Medium (50-200 km²)' WHEN p_retailprice < 500 THEN 'Large (200-500 km²)' ELSE 'Very Large (>500 km²)' END AS category FROM part")
 def size_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", cat.size_category(F.col("p_retailprice")).alias("category"))
 
 
-@query("WITH c AS (SELECT CASE WHEN p_size < 10 THEN 'Very Small' WHEN p_size < 50 THEN 'Small' WHEN p_size < 200 THEN 'Medium' WHEN p_size < 500 THEN 'Large' ELSE 'Very Large' END AS category FROM part) SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY category")
+@query("WITH c AS (SELECT CASE WHEN p_size < 10 THEN 'Very Small (<10 km²)' WHEN p_size < 50 THEN 'Small (10-50 km²)' WHEN p_size < 200 THEN 'Medium (50-200 km²)' WHEN p_size < 500 THEN 'Large (200-500 km²)' ELSE 'Very Large (>500 km²)' END AS category FROM part) SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY category")
 def size_category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(cat.size_category(F.col("p_size")).alias("category"))
     return rounded(profile.shares(p, "category"))
 
 
-@query(f"WITH {D}, r AS (SELECT *, CASE WHEN longitude < -120 THEN 'Pacific Coast' WHEN longitude < -110 THEN 'Mountain West' WHEN longitude < -100 THEN 'Great Plains' ELSE 'Eastern' END AS region FROM d) SELECT region, count(frp) AS count, round(avg(frp), 6) AS mean, round(stddev_samp(frp), 6) AS std, round(min(frp), 6) AS min, round(quantile_cont(frp, 0.25), 6) AS p25, round(quantile_cont(frp, 0.5), 6) AS p50, round(quantile_cont(frp, 0.75), 6) AS p75, round(max(frp), 6) AS max FROM r GROUP BY region")
+@query(f"WITH {D}, r AS (SELECT *, CASE WHEN longitude < -120 THEN 'West Coast' WHEN longitude < -110 THEN 'Mountain West' WHEN longitude < -100 THEN 'Central West' ELSE 'Great Plains' END AS region FROM d) SELECT region, count(frp) AS count, round(avg(frp), 6) AS mean, round(stddev_samp(frp), 6) AS std, round(min(frp), 6) AS min, round(quantile_cont(frp, 0.25), 6) AS p25, round(quantile_cont(frp, 0.5), 6) AS p50, round(quantile_cont(frp, 0.75), 6) AS p75, round(max(frp), 6) AS max FROM r GROUP BY region")
 def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir).withColumn("region", cat.region_category(F.col("longitude")))
     return rounded(profile.describe(d, "frp", ["region"]))

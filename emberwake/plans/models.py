@@ -18,7 +18,7 @@ from .views import FEATURES, D, G, detections, features, grouped, points, table
 _F = f"f AS ({FEATURES})"
 
 
-@query(f"WITH {_F} SELECT key, CASE WHEN n <= 0 THEN 'No Fire' WHEN n <= 5 THEN 'Rare' WHEN n <= 20 THEN 'Occasional' WHEN n <= 50 THEN 'Frequent' ELSE 'Very Frequent' END AS stratum FROM f")
+@query(f"WITH {_F} SELECT key, CASE WHEN n <= 0 THEN 'No Fire' WHEN n <= 5 THEN 'Rare Fire' WHEN n <= 20 THEN 'Occasional Fire' WHEN n <= 50 THEN 'Frequent Fire' ELSE 'Very Frequent Fire' END AS stratum FROM f")
 def fire_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("key", cat.fire_strata(F.col("n")).alias("stratum"))
 
@@ -123,7 +123,7 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sc.profile(features(spark, sf_dir), "label", ["bal"]), 5)
 
 
-@query(f"WITH {_F} SELECT key, concat_ws(' / ', CASE WHEN n < 5 THEN 'Low Frequency' WHEN n < 15 THEN 'Moderate Frequency' ELSE 'High Frequency' END, CASE WHEN key%80 < 10 THEN 'Small' WHEN key%80 < 50 THEN 'Medium' ELSE 'Large' END, CASE WHEN key%130 < 50 THEN 'Low Intensity' WHEN key%130 < 100 THEN 'Moderate Intensity' ELSE 'High Intensity' END) AS name_b, concat_ws(' ', CASE WHEN n < 3 THEN 'Rare' WHEN n < 10 THEN 'Occasional' WHEN n < 25 THEN 'Frequent' ELSE 'Very Frequent' END, CASE WHEN key%10 < 0.5 THEN 'Minimal' WHEN key%10 < 1.5 THEN 'Low' WHEN key%10 < 3 THEN 'Moderate' WHEN key%10 < 5 THEN 'High' ELSE 'Extreme' END, CASE WHEN key%130 < 30 THEN 'Cool' WHEN key%130 < 70 THEN 'Warm' ELSE 'Hot' END, CASE WHEN key%80 < 5 THEN 'Small' WHEN key%80 < 20 THEN 'Medium' ELSE 'Large' END) AS name_c FROM f")
+@query(f"WITH {_F} SELECT key, CASE WHEN n < 5 THEN 'Low' WHEN n < 15 THEN 'Moderate' ELSE 'High' END || '-Frequency ' || CASE WHEN key%80 < 10 THEN 'Small' WHEN key%80 < 50 THEN 'Medium' ELSE 'Large' END || '-' || CASE WHEN key%130 < 50 THEN 'Low-Intensity' WHEN key%130 < 100 THEN 'Moderate-Intensity' ELSE 'High-Intensity' END AS name_b, concat_ws('_', CASE WHEN n < 3 THEN 'Rare' WHEN n < 10 THEN 'Occasional' WHEN n < 25 THEN 'Frequent' ELSE 'Very-Frequent' END, CASE WHEN key%10 < 0.5 THEN 'Minimal-Impact' WHEN key%10 < 1.5 THEN 'Low-Impact' WHEN key%10 < 3 THEN 'Moderate-Impact' WHEN key%10 < 5 THEN 'High-Impact' ELSE 'Extreme-Impact' END, CASE WHEN key%80 < 5 THEN 'Small' WHEN key%80 < 20 THEN 'Medium' ELSE 'Large' END, CASE WHEN key%130 < 30 THEN 'Low-Intensity' WHEN key%130 < 70 THEN 'Moderate-Intensity' ELSE 'High-Intensity' END) AS name_c FROM f")
 def cluster_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("key")
     return features(spark, sf_dir).select("key", cat.regime_name_b(F.col("n"), k % 80, k % 130).alias("name_b"), cat.regime_name_c(F.col("n"), k % 10 / 10, k % 130, k % 80).alias("name_c"))
@@ -232,7 +232,7 @@ def road_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cov.with_default(c.select("c_custkey"), roads, "c_custkey", "distance", 1000.0))
 
 
-_BANDS = "CASE WHEN h <= 0.1 THEN '0-10' WHEN h <= 0.3 THEN '10-30' WHEN h <= 0.5 THEN '30-50' WHEN h <= 0.7 THEN '50-70' ELSE '70-100' END"
+_BANDS = "CASE WHEN h <= 0.1 THEN '<10%' WHEN h <= 0.3 THEN '10-30%' WHEN h <= 0.5 THEN '30-50%' WHEN h <= 0.7 THEN '50-70%' ELSE '>70%' END"
 _H = "h AS (SELECT p_partkey AS zone_id, (p_partkey * 37 % 1200) / 1000.0::DOUBLE AS h, p_retailprice AS area, p_size AS n FROM part)"
 
 
@@ -280,7 +280,7 @@ def cluster_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s).withColumns({c: F.round(c, 5) for c in ("mean_km", "max_km")})
 
 
-@query(f"WITH {_GE}, r AS (SELECT grp, floor(h/24) > 5 AS too_long, sqrt(sx*sx+sy*sy)/1000 > 0.7 AS too_wide, n > 5 AND h > 0 AND km/h > 0.01 AS too_fast FROM e) SELECT count(*) AS clusters, count(*) FILTER (WHERE too_long) AS too_long, count(*) FILTER (WHERE too_wide) AS too_wide, count(*) FILTER (WHERE too_fast) AS too_fast, round(1 - count(*) FILTER (WHERE too_long OR coalesce(too_wide, false) OR too_fast)/count(*), 6) AS quality_ratio FROM r")
+@query(f"WITH {_GE}, r AS (SELECT grp, floor(h/24) > 5 AS too_long, sqrt(sx*sx+sy*sy)/1000 > 0.7 AS too_wide, n > 5 AND floor(h/24) > 0 AND km/(floor(h/24)*24) > 0.01 AS too_fast FROM e) SELECT count(*) AS clusters, count(*) FILTER (WHERE too_long) AS too_long, count(*) FILTER (WHERE too_wide) AS too_wide, count(*) FILTER (WHERE too_fast) AS too_fast, round(1 - count(*) FILTER (WHERE too_long OR coalesce(too_wide, false) OR too_fast)/count(*), 6) AS quality_ratio FROM r")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rp.quality_rules(grouped(spark, sf_dir), "grp", max_days=5, max_spread_km=0.7, max_kmh=0.01))
 

@@ -151,7 +151,7 @@ def test_buffer_is_a_capsule():
 
 def test_strata_edges_and_bad_input(spark):
     r = spark.createDataFrame([(float(x),) for x in (0, 5, 20, 50, 51)], "n double").select(cat.fire_strata(F.col("n")).alias("s")).collect()
-    assert [x.s for x in r] == ["No Fire", "Rare", "Occasional", "Frequent", "Very Frequent"]
+    assert [x.s for x in r] == ["No Fire", "Rare Fire", "Occasional Fire", "Frequent Fire", "Very Frequent Fire"]
     r = spark.createDataFrame([("30", "2020-01-01", "x"), ("2400", "2020-01-01", "NaN"), ("1230", "bad", "1")], "t string, d string, n string")
     got = r.select(cat.acq_datetime(F.try_to_date("d"), F.col("t")).cast("string").alias("a"), cat.number(F.col("n")).alias("n")).collect()
     assert [x.a for x in got] == ["2020-01-01 00:30:00", None, None] and [x.n for x in got] == [None, None, 1.0]
