@@ -19,6 +19,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
     trim()
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until none of columns is equal to it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def trim() -> None:
     """Gives memory that the allocators hold back to the system, where they can."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .arrow import raw_texts, slices, summed
+from .arrow import free, raw_texts, slices, summed
 from .pieces import SPACE, Trie
 from .words import RUN, WordMemo, WordRun, chunks
 
@@ -269,14 +269,17 @@ def train(docs: DataFrame, model_file: str, rounds: int = 1, text_col: str = "te
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row, or with keep all columns of docs and these two. score is the posterior of lang_pred at equal priors.
+    """(doc_id, lang_pred, score) of each row, or with keep all columns of docs and these two last. score is the posterior of lang_pred at equal priors.
+
+    With keep, underscores are added to the two names where docs has such a column; without, other columns do not matter. Repeated rows are rows of their own.
 
     `und` with score 0 for null texts, for texts without a letter, and if no language was learned.
     """
     own = docs if keep else docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     name = text_col if keep else "text"
     out = own.schema if keep else own.select("doc_id").schema
-    out = StructType([*out.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    pred, sure = free(out.names, "lang_pred", "score")
+    out = StructType([*out.fields, StructField(pred, StringType()), StructField(sure, DoubleType())])
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

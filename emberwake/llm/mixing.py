@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrow import free
+
 #: Words, as the size of a document.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Cells of the shuffle order, for each source, and of the finish time. Only running totals of cells stand in one task.
@@ -82,11 +84,16 @@ def _truncate(timed: DataFrame, share: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the mix plays, one for each play, in no order, with `play` and `finish`; sort by finish for the sequence."""
+    """The rows of docs that the mix plays, one for each play, in no order, with `play` and `finish`; sort by finish for the sequence.
+
+    Underscores are added to these two names where docs has such a column.
+    """
     i, s, t = options.get("id_col", "doc_id"), options.get("source_col", "source"), options.get("text_col", "text")
-    taken = fair_queue(docs, **options).where("taken").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("play").alias("_play"), F.col("finish").alias("_finish"))
-    same = docs[i].eqNullSafe(F.col("_i")) & docs[s].cast("string").eqNullSafe(F.col("_s")) & (word_count(docs[t]) == F.col("_n"))
-    return docs.join(taken, same).drop("_i", "_s", "_n").withColumnsRenamed({"_play": "play", "_finish": "finish"})
+    key, source, size, play, finish = free(docs.columns, "_i", "_s", "_n", "play", "finish")
+    taken = fair_queue(docs, **options).where("taken")
+    taken = taken.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("play").alias(play), F.col("finish").alias(finish))
+    same = docs[i].eqNullSafe(taken[key]) & docs[s].cast("string").eqNullSafe(taken[source]) & (word_count(docs[t]) == taken[size])
+    return docs.join(taken, same).drop(key, source, size)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:

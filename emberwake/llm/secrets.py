@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import free
+
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
 
@@ -122,10 +124,11 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
 def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each found span replaced by mask (overlapping spans by one); all rows and columns stay, a null text stays null.
 
-    Findings are joined by address, so that each copy is masked alike; a path is matched by its blob.
+    Findings are joined by address, so that each copy is masked alike; a path is matched by its blob. Columns of docs may have any names.
     """
+    at, blob, found = free(docs.columns, "_address", "_blob", "_spans")
     paths, additions = scan(docs, None, rules, id_col, text_col)
-    by_blob = findings(paths, additions, rules).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct()
+    by_blob = findings(paths, additions, rules).where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(found)).distinct()
     text = docs[text_col].cast("string")
 
     def step(acc, s):
@@ -133,6 +136,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text
         piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, piece).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))))
-    joined = docs.withColumn("_address", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(by_blob, F.col("_address") == F.col("_blob"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(masked)).select(*docs.columns)
+    masked = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))))
+    joined = docs.withColumn(at, F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(by_blob, F.col(at) == F.col(blob), "left")
+    return joined.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(masked)).select(*docs.columns)
