@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwake.llm import language, mixing, pieces, secrets
+from emberwake.llm.arrow import free
 from emberwake.llm.jaccard import jaccard_rows, text_key
 from emberwake.llm.queries import tokenizer_file
 from emberwake.session import checkpoint_dir, cut
@@ -21,7 +22,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents in one of the learned languages. Learned as in op4, without the held-out rows."""
     model = language.train(docs.where(~language.held_out(docs["doc_id"], 4, 2)), tokenizer_file(PIECES))
     found = language.identify(docs, model, keep=True)
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = found.columns[-2:]
+    return found.where((F.col(pred) != language.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +37,16 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")
     linked = rows.where("n_shingles > 0").groupBy("class_id").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_key")
     alone = rows.where("n_shingles = 0").select("doc_id", "text_key").distinct()
-    first = linked.union(alone).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    keyed = docs.withColumn("_text_key", text_key(F.col("text").cast("string")))
+    own, i, key = free(names, "_text_key", "_id", "_key")
+    first = linked.union(alone).select(F.col("doc_id").alias(i), F.col("text_key").alias(key))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(key))
+    keyed = docs.withColumn(own, text_key(F.col("text").cast("string")))
     kept = keyed.join(first, same, "left_semi")
     repeated = rows.where("doc_id is not null or n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
-    repeated = repeated.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    repeated = repeated.select(F.col("doc_id").alias(i), F.col("text_key").alias(key))
     if repeated.isEmpty():
         return kept.select(*names)
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", own])
     return kept.join(repeated, same, "left_anti").unionByName(once).select(*names)
 
 
