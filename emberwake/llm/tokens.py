@@ -2,7 +2,7 @@
 
 A file is a Parquet folder whose rows are blocks of about BLOCK ids in ascending doc_id order: document ids,
 document lengths, and a payload in the format below. In each block, frequent pairs of adjacent
-symbols are replaced by new symbols (nonterminals), round after round, until no pair is frequent.
+symbols are replaced by new symbols (nonterminals), round after round, until no pair is frequent or ROUNDS are done.
 The payload holds the rules, the length each rule expands to, and the rest of the sequence, so
 that any range of ids is decoded without the others.
 
