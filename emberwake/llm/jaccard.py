@@ -9,9 +9,10 @@ are filtered by size and by position, expanded to members and verified exactly o
 The result is the classes of linked documents, so no more pairs are made than it takes to know
 them: first each group of a posting list is paired with one group of the list alone (a star), for a few
 rounds with other hubs, and once those links are known, whatever pairs of a list stand in different
-classes. In a list of near copies of one text this leaves a few pairs in place of all. No list is
-gathered in a task. Before whole sets are fetched for a pair, the numbers of their shingles in each
-of SLOTS hash slots bound what they can share, so that most pairs that do not link end there.
+classes. A hub leaves its list with its star, since all its pairs are known then. In a list of near copies of one
+text this leaves a few pairs in place of all. No list is gathered in a task. Two exact bounds end most pairs that do not link. In the last join of lists: each set has MARKS
+bits, the parity of its shingles in as many hash slots; two sets differ in as many shingles at least as in bits.
+Before whole sets are fetched: the numbers of shingles in each of SLOTS hash slots bound what two sets share.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ WANTED_BITS = 23
 DONE = 65_536
 PARTS = 64
 SLOTS = 256
+MARKS = 1024
+_FULL = 65_535
 #: Rounds of stars before the pairs that are left.
 STARS = 3
 
@@ -71,13 +74,13 @@ def _sketch(own: DataFrame, k: int) -> np.ndarray:
 
 
 def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
-    """(doc_id, text_key, n, member, grp, prefix, slots) of each row: member and grp are hashes of the set, and of size and prefix."""
+    """(doc_id, text_key, n, member, grp, prefix, slots, marks) of each row: member and grp are hashes of the set, and of size and prefix."""
     spread = own.sparkSession.sparkContext.broadcast(_sketch(own, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = spread.value
         for b in slices(batches):
-            n, member, group, prefix, slots = [], [], [], [], []
+            n, member, group, prefix, slots, marks = [], [], [], [], [], []
             for s in shingle_sets(raw_texts(b), k):
                 n.append(len(s))
                 if len(s):
@@ -86,15 +89,22 @@ def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
                     member.append(_member(s))
                     group.append(int(mixed(np.array([mixed(p + np.uint64(len(s))).sum()], np.uint64)).view(np.int64)[0]))
                     prefix.append(p.view(np.int64))
-                    slots.append(np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype("<u2").tobytes())
+                    counts = np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                    slots.append(np.minimum(counts, _FULL).astype("<u2").tobytes())
+                    odd = np.bincount((s >> np.uint64(8) & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+                    marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 else:
                     slots.append(None)
+                    marks.append(None)
                     member.append(None)
                     group.append(None)
                     prefix.append(None)
-            yield pa.record_batch([b.column(0), b.column("text_key"), pa.array(n, pa.int64()), pa.array(member, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(slots, pa.binary())], ["doc_id", "text_key", "n", "member", "grp", "prefix", "slots"])
+            longs = pa.list_(pa.int64())
+            columns = [b.column(0), b.column("text_key"), pa.array(n, pa.int64()), pa.array(member, pa.int64()), pa.array(group, pa.int64())]
+            columns += [pa.array(prefix, longs), pa.array(slots, pa.binary()), pa.array(marks, longs)]
+            yield pa.record_batch(columns, ["doc_id", "text_key", "n", "member", "grp", "prefix", "slots", "marks"])
 
-    return own.mapInArrow(run, f"doc_id {kind}, text_key long, n long, member long, grp long, prefix array<long>, slots binary")
+    return own.mapInArrow(run, f"doc_id {kind}, text_key long, n long, member long, grp long, prefix array<long>, slots binary, marks array<long>")
 
 
 def _near(a_n, b_n, a_pos, b_pos, percent: int) -> F.Column:
@@ -103,6 +113,12 @@ def _near(a_n, b_n, a_pos, b_pos, percent: int) -> F.Column:
     return (F.least(a_n, b_n) * 100 >= F.greatest(a_n, b_n) * percent) & (rest * (100 + percent) >= (a_n + b_n) * percent)
 
 
+def _alike(a_n, b_n, a_marks, b_marks, percent: int) -> F.Column:
+    """Whether two sets may reach the threshold: beyond it they differ in (100 - percent) / (100 + percent) of both sizes at most."""
+    bits = [F.bit_count(a_marks[k].bitwiseXOR(b_marks[k])) for k in range(MARKS // 64)]
+    return sum(bits[1:], bits[0]) * (100 + percent) <= (a_n + b_n) * (100 - percent)
+
+
 def _sets(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(member, hashes) for wanted(doc_id, text_key, member), one row each. A fixed-size map of wanted rows spares most others the work."""
     row = F.xxhash64("doc_id", "text_key")
@@ -143,6 +159,7 @@ def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         for b in slices(batches, 4096):
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SLOTS) for c in ("as", "bs"))
             share = np.minimum(x, y).sum(1, dtype=np.int64)
+            share += ((x == _FULL) & (y == _FULL)).any(1) * (1 << 40)  # two full slots bound nothing
             most = share * (100 + percent) >= (b.column("an").to_numpy() + b.column("bn").to_numpy()) * percent
             yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(most))
 
@@ -189,7 +206,7 @@ def jaccard_rows(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
     own = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
     rows = cut(_members(own, k, percent, kind))
     found = rows.where("member is not null")
-    members = cut(found.groupBy("member", "grp", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("row"), F.first("slots").alias("slots")).select("member", "grp", "n", "row.doc_id", "row.text_key", "slots"))
+    members = cut(found.groupBy("member", "grp", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("row"), F.first("slots").alias("slots"), F.first("marks").alias("marks")).select("member", "grp", "n", "row.doc_id", "row.text_key", "slots", "marks"))
     postings = found.groupBy("grp", "n").agg(F.first("prefix").alias("prefix")).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     often = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = cut(postings.join(often.hint("shuffle_hash"), "token", "left_semi"))
@@ -198,7 +215,8 @@ def jaccard_rows(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
 
     # Pairs of groups, by the first star; filtered, then expanded to members.
     hubs = shared.groupBy("token").agg(F.min(F.struct("grp", "n", "pos")).alias("h"))
-    groups = shared.join(hubs, "token").where(F.col("grp") != F.col("h.grp")).where(_near(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"), percent)).select("grp", F.col("h.grp").alias("hub")).distinct()
+    others = shared.join(hubs, "token").where(F.col("grp") != F.col("h.grp"))
+    groups = others.where(_near(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"), percent)).select("grp", F.col("h.grp").alias("hub")).distinct()
     left = members.select("grp", F.col("member").alias("x"))
     right = members.select(F.col("grp").alias("hub"), F.col("member").alias("y"))
     expanded = groups.join(left, "grp").join(right, "hub").select("x", "y")
@@ -209,23 +227,28 @@ def jaccard_rows(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
     classes = connected_components(links, "a", "b")
 
     # Stars with other hubs, between classes only; then all pairs of a list that still stand in different classes.
-    lists = shared.select("token", "grp", "pos").union(several.select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos")))
-    lists = lists.join(members.select("grp", "member", "n"), "grp").select("token", "member", "n", "pos")
+    lists = others.select("token", "grp", "pos").join(members.select("grp", "member", "n"), "grp").select("token", "member", "n", "pos")
+    lists = lists.union(within.join(members, within["x"] == members["member"]).select(F.col("grp").alias("token"), "member", "n", F.lit(0).alias("pos")))
     for turn in range(1, STARS + 1):
         named = lists.join(classes, lists["member"] == classes["node"], "left").select("token", "member", "n", "pos", F.coalesce("component", "member").alias("cls"))
         open_ = named.groupBy("token").agg(F.min("cls").alias("l"), F.max("cls").alias("m")).where("l != m").select("token")
         lists = cut(named.join(open_, "token", "left_semi"))
         one = lists.select("token", F.col("member").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("cls").alias("xc"))
+        may = _near(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), percent)
         if turn < STARS:
             order = F.xxhash64("member", F.lit(turn))
             two = lists.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.col("member").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("cls").alias("yc"))).alias("h")).select("token", "h.*")
             apart = "xc != yc"
         else:
-            two = lists.select("token", F.col("member").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("cls").alias("yc"))
+            marked = lists.join(members.select("member", "marks"), "member")
+            one = marked.select("token", F.col("member").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("cls").alias("xc"), F.col("marks").alias("xm"))
+            two = marked.select("token", F.col("member").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("cls").alias("yc"), F.col("marks").alias("ym"))
+            may = may & _alike(F.col("xn"), F.col("yn"), F.col("xm"), F.col("ym"), percent)
             apart = "xc < yc"
-        crossing = one.join(two, "token").where(apart).where(_near(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        crossing = one.join(two, "token").where(apart).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         crossing = cut(crossing.join(tried, ["a", "b"], "left_anti"))
-        lists = lists.drop("cls")
+        if turn < STARS:
+            lists = lists.join(two.select("token", "y"), "token").where("member != y").select("token", "member", "n", "pos")
         more = cut(_verified(crossing, own, members, k, percent))
         if not more.isEmpty():
             links = links.union(more)
