@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +37,30 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_models: dict = {}
+
+
+def held(make):
+    """make(file), kept across tasks until the worker is asked for another model: workers outlive a stage, and would add up the memos of all."""
+
+    @functools.wraps(make)
+    def get(file: str):
+        key = make.__module__, make.__qualname__, file
+        if key not in _models:
+            release()
+            _models[key] = make(file)
+        return _models[key]
+
+    return get
+
+
+def release() -> None:
+    """Drops the model that is held, with its memos."""
+    if _models:
+        _models.clear()
+        trim()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Null counts as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

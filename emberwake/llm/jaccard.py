@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut
-from .arrow import raw_texts, slices, summed
+from .arrow import raw_texts, release, slices, summed
 from .shingles import mixed, shingle_sets
 
 #: Width of the count sketch and of the map of wanted documents. Fixed sizes: wider is only faster.
@@ -56,6 +56,7 @@ def _sketch(own: DataFrame, k: int) -> np.ndarray:
     width = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(width, np.uint64)
         for b in slices(batches):
             sets = [s for s in shingle_sets(raw_texts(b), k) if len(s)]
@@ -78,6 +79,7 @@ def _members(own: DataFrame, k: int, percent: int, kind: str) -> DataFrame:
     spread = own.sparkSession.sparkContext.broadcast(_sketch(own, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rank = spread.value
         for b in slices(batches):
             n, member, group, prefix, slots, marks = [], [], [], [], [], []

@@ -9,7 +9,6 @@ pieces (languages x vocabulary, a fixed size) meet on the driver.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .arrow import free, raw_texts, slices, summed
+from .arrow import free, held, raw_texts, slices, summed
 from .pieces import SPACE, Trie
 from .words import RUN, WordMemo, WordRun, chunks
 
@@ -182,7 +181,7 @@ def _groups(place: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-@functools.lru_cache(maxsize=2)
+@held
 def lattice_of(model_file: str) -> Lattice:
     return Lattice(model_file)
 

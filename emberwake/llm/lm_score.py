@@ -12,7 +12,6 @@ whole model; only the unigram totals (one per piece of the fixed vocabulary) go
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .arrow import raw_texts
+from .arrow import held, raw_texts
 from .words import IdMemo, WordTable, chunks, mixed
 
 #: Characters of text in a block, about.
@@ -69,7 +68,7 @@ class Pieces:
         return np.append(keys >> BITS, keys[-1] & ((1 << BITS) - 1)).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=2)
+@held
 def pieces_of(model_file: str) -> Pieces:
     return Pieces(model_file)
 

@@ -15,7 +15,6 @@ those with characters that only stand inside pieces are filled one by one, in th
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import Memo, slices, texts
+from .arrow import Memo, held, slices, texts
 
 SPACE = "▁"
 END_ID = 2
@@ -360,7 +359,7 @@ class PieceBpe:
         return self._decode(ids).removeprefix(" ")
 
 
-@functools.lru_cache(maxsize=2)
+@held
 def load(model_file: str) -> PieceBpe:
     """One encoder for each Python worker, with its memo, across tasks."""
     return PieceBpe(model_file)

@@ -12,7 +12,6 @@ uint32 ids; then rules x (uint32 left, uint32 right), rules x uint32 expansion l
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -28,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .arrow import raw_texts, slices
+from .arrow import held, raw_texts, slices
 from .words import IdMemo, chunks
 
 MAGIC = b"RPG1"
@@ -227,7 +226,7 @@ class Words:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@held
 def words_of(file: str) -> Words:
     return Words(file)
 
