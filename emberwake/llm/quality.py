@@ -111,19 +111,21 @@ def _statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = np.array([statistics(t) for t in texts(b)], float)
-            yield pa.record_batch([b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.record_batch([b.column("_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["_id", "y", "x"])
 
-    return docs.mapInArrow(run, "y int, x array<double>")
+    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, y int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELS) -> Trees:
-    """Fits on at most `most` labelled rows, chosen by the hash of their id; an id labelled twice takes the larger label."""
+    """Fits on at most `most` labelled ids, chosen by the hash of the id; an id labelled twice takes the larger label.
+
+    Of an id with several rows, the one of least statistics is fitted, so the model does not depend on the order of rows.
+    """
     known = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("y")).where("_id is not null and y is not null").groupBy("_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(most)
     # Bounded by `most`, so it can be sent to all executors.
-    rows = docs.select(docs[id_col].alias("_doc"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("y", "text")
-    # Repeated rows of one id may be many: their number is bounded as well.
-    found = _statistics(rows).limit(2 * most).toPandas()
+    rows = docs.select(docs[id_col].alias("_doc"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "y", "text")
+    found = _statistics(rows).groupBy("_id", "y").agg(F.min("x").alias("x")).toPandas()
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(statistics("")))
     order = np.lexsort((*x.T[:3], found["y"].to_numpy())) if len(found) else np.zeros(0, np.int64)
     return fit(x[order], found["y"].to_numpy(float)[order])

@@ -265,3 +265,12 @@ def test_lm_score_matches_a_plain_model(spark, docs, empty, monkeypatch):
     assert [w[0] for w in want] == [f[0] for f in found]
     assert np.array([f[1:] for f in found]) == pytest.approx(np.array([w[1:] for w in want]))
     assert lm_score.score_documents(empty, good, PIECES).count() == 0
+
+
+def test_quality_does_not_depend_on_the_order_of_rows(spark):
+    """Many rows of one labelled id, with different texts."""
+    rows = [(i % 40, f"text {i} " + "word " * (i % 7) + "! " * (i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, two = (quality.train(d, labels) for d in (df, df.repartition(7, "text")))
+    assert np.array_equal(one.feature, two.feature) and np.array_equal(one.leaf, two.leaf)
