@@ -10,8 +10,10 @@ The result is the classes of linked documents, so no more pairs are made than it
 them: first each group of a posting list is paired with one group of the list alone (a star), for a few
 rounds with other hubs, and once those links are known, whatever pairs of a list stand in different
 classes. A hub leaves its list with its star, since all its pairs are known then. In a list of near copies of one
-text this leaves a few pairs in place of all. No list is gathered in a task. Two exact bounds end most pairs that do not link. In the last join of lists: each set has MARKS
-bits, the parity of its shingles in as many hash slots; two sets differ in as many shingles at least as in bits.
+text this leaves a few pairs in place of all. No list is gathered in a task.
+
+Two exact bounds end most pairs that do not link. In the last join of lists: each set has MARKS bits, the
+parity of its shingles in as many hash slots; two sets differ in as many shingles at least as in bits.
 Before whole sets are fetched: the numbers of shingles in each of SLOTS hash slots bound what two sets share.
 """
 

@@ -94,6 +94,24 @@ def test_jaccard_chains_and_common_passages(spark):
     assert Counter(map(tuple, jaccard.jaccard_classes(df).collect())) == brute_classes(df.collect())
 
 
+def test_jaccard_family_near_the_threshold(spark):
+    """Many texts of one base, whose pairs fall on both sides of the threshold: what the bounds let through is exact."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(80):
+        t = list(base)
+        for at in rng.sample(range(120), rng.randrange(0, 4)):
+            t[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_classes(df.collect())
+    assert 1 < len({c for _, _, c in want}) < 80
+    assert Counter(map(tuple, jaccard.jaccard_classes(df).collect())) == want
+
+
 def test_mixing_matches_its_definition(spark, docs, empty):
     rows = [r.asDict() for r in mixing.mix_report(docs).collect()]
     assert len(rows) == docs.count() and mixing.mix_report(empty).count() == 0
