@@ -15,7 +15,7 @@ def pipeline_a(spark: SparkSession, raw: DataFrame, zones: DataFrame, root: str,
     points = io.stage(spark, root, "prepared", lambda: clean.prepare(raw, cfg.quality, cfg.region))
 
     def label() -> DataFrame:
-        pairs = dbscan.neighbours_combined(points, cfg.clustering.eps_km, cfg.clustering.eps_days)
+        pairs = dbscan.near_combined(points, cfg.clustering.eps_km, cfg.clustering.eps_days)
         found = dbscan.drop_small(dbscan.dbscan(points, pairs, cfg.clustering.min_samples), max(cfg.clustering.min_samples, cfg.clustering.drop_below))
         return dbscan.renumber(found, points)
 
@@ -41,7 +41,7 @@ def pipeline_b(spark: SparkSession, raw: DataFrame, zones: DataFrame, root: str,
     points = io.stage(spark, root, "prepared", lambda: clean.derive(clean.qc_filter(clean.bbox_filter(raw, cfg.region), cfg.quality)))
 
     def label() -> DataFrame:
-        pairs = dbscan.neighbours_speed(points, c.speed_eps_m, c.speed_eps_days, c.max_kmh)
+        pairs = dbscan.near_speed(points, c.speed_eps_m, c.speed_eps_days, c.max_kmh)
         return dbscan.renumber(dbscan.quality_drop(dbscan.dbscan(points, pairs, c.min_samples), points, 2, c.speed_eps_m), points)
 
     labels = io.stage(spark, root, "labels", label)

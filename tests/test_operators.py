@@ -245,3 +245,42 @@ def test_model_queries_run_the_whole_job(spark, sf_dir, monkeypatch):
         QUERIES[query](spark, sf_dir)
     n = len(spark.read.parquet(f"{sf_dir}/embeddings.parquet").first().embedding)
     assert seen == {"try_k": (n, (range(2, 11),), {}), "suite": (n, (), {}), "bootstrap": (n, (4,), {}), "knn": (n, (4,), {})}
+
+
+def _odd_points(spark):
+    rng = random.Random(11)
+    at = lambda m: dt.datetime(2020, 1, 1) + dt.timedelta(minutes=m)
+    pts = [(i, at(rng.choice([rng.uniform(0, 40), rng.uniform(0, 40000), 7.0])), rng.choice([0.0, 9000.0]) + rng.uniform(0, 2600), rng.uniform(0, 2600), rng.uniform(50, 100), rng.uniform(0.1, 90), "DN"[i % 2]) for i in range(260)]
+    pts += [(900, at(1), None, 0.0, 60.0, 1.0, "D"), (901, at(1), float("nan"), 0.0, 60.0, 1.0, "D"), (902, None, 0.0, 0.0, 60.0, 1.0, "D"), (903, at(1), float("nan"), 0.0, 60.0, 1.0, "D"), (904, at(1), 0.0, 0.0, None, 1.0, None)]
+    return spark.createDataFrame(pts, "point_id long, acq_datetime timestamp_ntz, x_proj double, y_proj double, confidence double, frp double, daynight string")
+
+
+@pytest.mark.parametrize("least", [2, 4])
+@pytest.mark.parametrize("kind,args", [("combined", (0.3, 0.4)), ("combined", (0.3, 0.4, ("daynight",))), ("l2", (0.5, 0.8)), ("weighted", (0.5, 0.8)), ("speed", (700.0, 0.5, 3.0)), ("speed", (700.0, 0.05, 0.5))])
+def test_clusters_of_a_neighbourhood_are_those_of_its_pairs(spark, kind, args, least):
+    df = _odd_points(spark)
+    near = getattr(dbscan, f"near_{kind}")(df, *args)
+    got = dict(map(tuple, dbscan.dbscan(df, near, least).collect()))
+    assert got == dict(map(tuple, dbscan.dbscan(df, near.pairs(), least).collect()))
+    assert len(got) == 265 and len({c for c in got.values() if c is not None}) > 1
+
+
+DENSE = ["merge_daynight"]
+
+
+@pytest.mark.parametrize("name", DENSE)
+def test_no_pairs_of_a_dense_place_are_written(spark, tmp_path, monkeypatch, name):
+    from emberwake.plans import QUERIES
+
+    df = spark.range(800).selectExpr("id * 2020 + 31 AS event_id", "timestamp_ntz'2024-01-01 08:00:00' + make_dt_interval(0, 0, id % 40 * 20) AS ts", "7L AS user_id", "'view' AS event_type", "3.0D AS value", "'{}' AS props")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    seen, real = [], dbscan.connected_components
+
+    def counted(edges, *a, **k):
+        seen.append(edges.count())
+        return real(edges, *a, **k)
+
+    monkeypatch.setattr(dbscan, "connected_components", counted)
+    rows = QUERIES[name](spark, str(tmp_path)).collect()
+    assert len({r[1] for r in rows}) == 1 and len(rows) > 300
+    assert seen and max(seen) < 10 * len(rows)
