@@ -291,3 +291,26 @@ def test_pair_distances_are_taken_in_the_one_join(spark, sf_dir):
 
     plan = QUERIES["pair_distances"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+@pytest.mark.parametrize("name", ["knn", "bgmm", "hdbscan", "hierarchical", "optics"])
+def test_models_refuse_no_size(spark, monkeypatch, name):
+    from emberwake.operators import models
+
+    monkeypatch.setattr(models, "SMALL", 20)
+    x = np.random.default_rng(5).normal(0, 1, (60, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "key long, features array<double>")
+    if name == "knn":
+        got = [tuple(r) for r in models.knn(df, 3, 500).orderBy("key", "rank").select("key", "other").collect()]
+        d = ((x[:, None] - x) ** 2).sum(2) + np.diag(np.full(60, np.inf))
+        assert got == [(i, int(j)) for i in range(60) for j in np.argsort(d[i], kind="stable")[:3]]
+    else:
+        assert models.RUNNERS[name](df).count() == 60
+
+
+def test_ward_from_centres_is_the_linkage():
+    from emberwake.operators import models
+
+    x = np.vstack([np.random.default_rng(1).normal(c, 1, (40, 5)) for c in (0, 4, 9)])
+    for k in (2, 3, 7):
+        assert (models._cut_tree(len(x), models.ward(x), k) == models._cut_tree(len(x), models.linkage(x), k)).all()
