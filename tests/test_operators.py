@@ -351,3 +351,37 @@ def test_dbscan_knee_of_few_rows_is_noise(spark):
 
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "key long, features array<double>")
     assert {r.label for r in md.dbscan_knee(df).collect()} == {-1}
+
+
+def test_spectral_line_is_the_power_iteration(spark):
+    """Against a dense iteration over the same graph; the clusters are stretches of the line."""
+    import numpy as np
+
+    from emberwake.operators import models as md
+
+    rows = sorted(_spots(60))
+    df = spark.createDataFrame(rows, "key long, features array<double>")
+    at = {k: i for i, (k, _) in enumerate(rows)}
+    a = np.zeros((len(rows), len(rows)))
+    for r in md.knn(df, 4).collect():
+        a[at[r.key], at[r.other]] = a[at[r.other], at[r.key]] = math.exp(-r.distance)
+    line, before = np.random.default_rng(md.SEED).standard_normal(len(rows)), np.inf
+    line /= np.abs(line).sum()
+    for _ in range(20):
+        new = a @ line / a.sum(1)
+        new /= np.abs(new).sum()
+        change = np.abs(new - line).sum()
+        if abs(before - change) < 1e-5 / len(rows):
+            break
+        line, before = new, change
+    got = {r.key: r.line for r in md.power_line(df, 4).collect()}
+    assert [got[k] for k, _ in rows] == pytest.approx(line.tolist(), abs=1e-12)
+    of = {r.key: r.label for r in md.spectral(df, 3, 4).collect()}
+    order = [of[k] for k in sorted(got, key=got.get)]
+    assert len(of) == len(rows) and len(set(order)) == 3 and sum(x != y for x, y in zip(order, order[1:])) == 2
+
+
+def test_spectral_of_one_row_is_noise(spark):
+    from emberwake.operators import models as md
+
+    assert [r.label for r in md.spectral(spark.createDataFrame([(5, [1.0])], "key long, features array<double>")).collect()] == [-1]
