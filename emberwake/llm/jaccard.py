@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, discard, tidy
 from .arrow import raw_texts, release, slices, summed
 from .shingles import mixed, shingle_sets
 
@@ -171,18 +171,21 @@ def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, own: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs(a, b), those that reach the threshold on their whole sets, which are made again for these members alone."""
-    left = cut(_possible(pairs, members, percent))
+    """Of pairs(a, b), those that reach the threshold on their whole sets, which are made again for these members alone and then deleted."""
+    left = tidy(_possible(pairs, members, percent))
     if left.isEmpty():
         return left
     wanted = left.select(F.col("a").alias("member")).union(left.select("b")).distinct()
-    sets = cut(_sets(own, cut(members.join(wanted, "member", "left_semi").select("doc_id", "text_key", "member")), k))
+    asked = cut(members.join(wanted, "member", "left_semi").select("doc_id", "text_key", "member"))
+    sets = tidy(_sets(own, asked, k))
     one = sets.select(F.col("member").alias("a"), F.col("hashes").alias("a_hashes"))
     two = sets.select(F.col("member").alias("b"), F.col("hashes").alias("b_hashes"))
     both = left.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
     union = F.size("a_hashes") + F.size("b_hashes") - F.col("shared")
-    return both.select("a", "b", "a_hashes", "b_hashes", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b").distinct()
+    out = tidy(both.select("a", "b", "a_hashes", "b_hashes", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b").distinct())
+    discard(left, asked, sets)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,12 +211,12 @@ def jaccard_rows(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
     kind = docs.select(docs[id_col]).schema[0].dataType.simpleString()
     text = docs[text_col].cast("string")
     own = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
-    rows = cut(_members(own, k, percent, kind))
+    rows = tidy(_members(own, k, percent, kind))
     found = rows.where("member is not null")
-    members = cut(found.groupBy("member", "grp", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("row"), F.first("slots").alias("slots"), F.first("marks").alias("marks")).select("member", "grp", "n", "row.doc_id", "row.text_key", "slots", "marks"))
+    members = tidy(found.groupBy("member", "grp", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("row"), F.first("slots").alias("slots"), F.first("marks").alias("marks")).select("member", "grp", "n", "row.doc_id", "row.text_key", "slots", "marks"))
     postings = found.groupBy("grp", "n").agg(F.first("prefix").alias("prefix")).select("grp", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     often = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = cut(postings.join(often.hint("shuffle_hash"), "token", "left_semi"))
+    shared = tidy(postings.join(often.hint("shuffle_hash"), "token", "left_semi"))
     # Groups of several members are lists of their own: each member shares the whole prefix.
     several = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
 
@@ -226,17 +229,21 @@ def jaccard_rows(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
     expanded = groups.join(left, "grp").join(right, "hub").select("x", "y")
     least = members.groupBy("grp").agg(F.min("member").alias("y"))
     within = members.join(several, "grp", "left_semi").join(least, "grp").where("member != y").select(F.col("member").alias("x"), "y")
-    tried = cut(expanded.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links = cut(_verified(tried, own, members, k, percent))
+    tried = tidy(expanded.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    links = _verified(tried, own, members, k, percent)
     classes = connected_components(links, "a", "b")
 
     # Stars with other hubs, between classes only; then all pairs of a list that still stand in different classes.
     lists = others.select("token", "grp", "pos").join(members.select("grp", "member", "n"), "grp").select("token", "member", "n", "pos")
     lists = lists.union(within.join(members, within["x"] == members["member"]).select(F.col("grp").alias("token"), "member", "n", F.lit(0).alias("pos")))
+    kept = None
     for turn in range(1, STARS + 1):
         named = lists.join(classes, lists["member"] == classes["node"], "left").select("token", "member", "n", "pos", F.coalesce("component", "member").alias("cls"))
         open_ = named.groupBy("token").agg(F.min("cls").alias("l"), F.max("cls").alias("m")).where("l != m").select("token")
-        lists = cut(named.join(open_, "token", "left_semi"))
+        before, lists = kept, tidy(named.join(open_, "token", "left_semi"))
+        kept = lists
+        if before is not None:
+            discard(before)
         one = lists.select("token", F.col("member").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("cls").alias("xc"))
         may = _near(F.col("xn"), F.col("yn"), F.col("xp"), F.col("yp"), percent)
         if turn < STARS:
@@ -250,10 +257,10 @@ def jaccard_rows(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
             may = may & _alike(F.col("xn"), F.col("yn"), F.col("xm"), F.col("ym"), percent)
             apart = "xc < yc"
         crossing = one.join(two, "token").where(apart).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        crossing = cut(crossing.join(tried, ["a", "b"], "left_anti"))
+        crossing = tidy(crossing.join(tried, ["a", "b"], "left_anti"))
         if turn < STARS:
             lists = lists.join(two.select("token", "y"), "token").where("member != y").select("token", "member", "n", "pos")
-        more = cut(_verified(crossing, own, members, k, percent))
+        more = _verified(crossing, own, members, k, percent)
         if not more.isEmpty():
             links = links.union(more)
             classes = connected_components(links, "a", "b")

@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,13 @@ def test_sessions_on_a_stream_agree_with_batch(spark, sf_dir, tmp_path):
     got = {tuple(r) for r in spark.sql("select user_id, start_time, n from found").collect()}
     want = {tuple(r) for r in st.sessions(d, "user_id", "12 hours").select("user_id", "start_time", "n").collect()}
     assert got and got <= want
+
+
+def test_discard_deletes_the_files_of_a_cut(spark):
+    from emberwake.session import cut, discard, tidy
+
+    kept, gone = cut(spark.range(50)), tidy(spark.range(70).repartition(3))
+    file = gone._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert gone.count() == 70 and os.path.isdir(file)
+    discard(gone)
+    assert not os.path.exists(file) and kept.count() == 50
