@@ -427,3 +427,19 @@ def test_grid_search_of_large_components_is_the_same(spark):
     few = dbscan.grid_search(df, *grid).collect()
     many = dbscan.grid_search(df, *grid, most=20).collect()
     assert [tuple(r) for r in few] == [pytest.approx(tuple(r)) for r in many] and len({r.silhouette for r in few}) == 2
+
+
+def test_suite_shares_what_k_leaves_alone(spark, monkeypatch):
+    """Rows of the suite are the indices of each run by itself; the tree and the line are made once for all k."""
+    from emberwake.operators import models as md
+
+    made = []
+    for name in ("spectral", "hierarchical"):
+        arg, make = md.SHARED[name]
+        monkeypatch.setitem(md.SHARED, name, (arg, lambda p, _m=make, _a=arg: (made.append(_a), _m(p))[1]))
+    df = spark.createDataFrame(_spots(40), "key long, features array<double>")
+    got = {r.run_id: r for r in md.suite(df, (2, 3), ("spectral", "hierarchical", "dbscan_knee")).collect()}
+    assert list(got) == ["spectral-2", "spectral-3", "hierarchical-2", "hierarchical-3", "dbscan_knee"] and made == ["line", "tree"]
+    for name, labels in (("hierarchical-3", md.hierarchical(df, 3)), ("dbscan_knee", md.dbscan_knee(df))):
+        rows = [(r.key, r.label, r.features) for r in df.join(labels, "key").where("label >= 0").collect()]
+        assert got[name].n_clusters == len({l for _, l, _ in rows}) and got[name].silhouette == pytest.approx(brute_silhouette(rows))
