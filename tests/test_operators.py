@@ -316,6 +316,34 @@ def test_ward_from_centres_is_the_linkage():
         assert (models._cut_tree(len(x), models.ward(x), k) == models._cut_tree(len(x), models.linkage(x), k)).all()
 
 
+def test_models_on_the_driver_keep_no_blocks_of_distances():
+    """Distances to the kth other row take memory for a block, those of all pairs for one matrix."""
+    import tracemalloc
+
+    from emberwake.operators import models
+
+    x = np.random.default_rng(2).random((3000, 8))
+    for make, most in ((lambda: models._core(x, 4), 30e6), (lambda: models._distances(x), 3000 * 3000 * 8 + 30e6)):
+        tracemalloc.start()
+        try:
+            make()
+            assert tracemalloc.get_traced_memory()[1] < most
+        finally:
+            tracemalloc.stop()
+
+
+def test_suite_makes_the_balls_of_birch_once(spark, monkeypatch):
+    from emberwake.operators import models as md
+
+    made, (arg, make) = [], md.SHARED.get("birch", ("balls", None))
+    monkeypatch.setitem(md.SHARED, "birch", (arg, lambda p: (made.append(arg), make(p))[1]))
+    df = spark.createDataFrame(_spots(40), "key long, features array<double>")
+    got = {r.run_id: r for r in md.suite(df, (2, 3), ("birch",)).collect()}
+    assert list(got) == ["birch-2", "birch-3"] and made == ["balls"]
+    rows = [(r.key, r.label, r.features) for r in df.join(md.birch(df, 3), "key").collect()]
+    assert got["birch-3"].n_clusters == 3 and got["birch-3"].silhouette == pytest.approx(brute_silhouette(rows))
+
+
 def _spots(n, dims=5, seed=3):
     """Rows around spots that differ in the last fields only, some copies, some far rows."""
     rng = random.Random(seed)
