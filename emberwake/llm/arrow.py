@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,9 +56,10 @@ def held(make):
 
 
 def release() -> None:
-    """Drops the model that is held, with its memos."""
+    """Drops the model that is held, with its memos. The collector runs, as a model may be part of a cycle and would stay beside the next one."""
     if _models:
         _models.clear()
+        gc.collect()
         trim()
 
 

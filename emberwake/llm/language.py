@@ -29,7 +29,8 @@ ALONE = 1e-7
 ADDED = 0.05
 #: Longer words are summed in logs, as products of so many probabilities may be below the least double.
 LONGEST = 32
-#: Letters of long words summed at once, about.
+#: Words summed at once, and letters of long words, about.
+WORDS = 5_000
 LETTERS = 1 << 17
 WORD = re.compile(r"[^\W\d_]+")
 SLICE = 1024
@@ -162,7 +163,7 @@ def _dealt(words: list[str]) -> Iterator[tuple[list[int], bool]]:
     for i, w in enumerate(words):
         if len(w) <= LONGEST:
             short.append(i)
-            if len(short) == 20_000:
+            if len(short) == WORDS:
                 yield short, False
                 short = []
             continue

@@ -29,6 +29,8 @@ from .arrow import Memo, held, slices, texts
 
 SPACE = "▁"
 END_ID = 2
+#: Segments that a memo holds, about 400 bytes each.
+MOST = 200_000
 
 
 class Pairs:
@@ -200,7 +202,6 @@ class PieceBpe:
     def _fits(self, a: str, b: str) -> bool:
         """Whether merge(a + b) is [a, b]: the merges of both go on side by side until one would cross."""
         if self.histories[b] is None:
-            self.compatible[a, b] = False
             return False
         (left, _, ends), (right, starts, _) = self.histories[a], self.histories[b]
         i, j, n, m, fits = 0, 0, len(left), len(right), True
@@ -215,9 +216,6 @@ class PieceBpe:
                 j += 1
             else:
                 break
-        if len(self.compatible) > 1_000_000:
-            self.compatible.clear()
-        self.compatible[a, b] = fits
         return fits
 
     def last_tokens(self, text: str) -> list[str]:
@@ -241,7 +239,9 @@ class PieceBpe:
                 before = last[start]
                 ok = compatible.get((before, piece))
                 if ok is None:
-                    ok = self._fits(before, piece)
+                    if len(compatible) > MOST // 2:
+                        compatible.clear()
+                    ok = compatible[before, piece] = self._fits(before, piece)
             if ok:
                 last[end] = piece
         return [text[i] if t is None else t for i, t in enumerate(last)]
@@ -331,7 +331,7 @@ class PieceBpe:
 
     def found_all(self, batch: list[str]) -> Iterator[list[tuple[str, int, str]]]:
         """For each text, of each segment: ids as text, their number, the decoded text."""
-        if len(self.segments) > 300_000:
+        if len(self.segments) > MOST:
             self.segments.clear()
         cut = [self.cut.findall(f" {t}".replace(" ", SPACE)) if t else [] for t in batch]
         new = [s for s in set(chain.from_iterable(cut)) if s not in self.segments]
@@ -398,7 +398,7 @@ def _map(docs: DataFrame, model_file: str, id_col: str, text_col: str, digest: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = load(model_file), hashlib.sha256
-        for b in slices(batches):
+        for b in slices(batches, 256):
             if not digest:
                 ids = pa.array(bpe.encode_all(texts(b)), pa.list_(pa.int32()))
                 yield pa.record_batch([b.column(0), ids], ["doc_id", "ids"])

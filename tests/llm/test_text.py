@@ -292,3 +292,40 @@ def test_quality_does_not_depend_on_the_order_of_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     one, two = (quality.train(d, labels) for d in (df, df.repartition(7, "text")))
     assert np.array_equal(one.feature, two.feature) and np.array_equal(one.leaf, two.leaf)
+
+
+def test_a_worker_drops_a_model_before_it_makes_the_next(monkeypatch):
+    """Also a model that is part of a cycle, as those with a memo of their own method are."""
+    import gc
+    import weakref
+
+    from emberwake.llm import arrow
+
+    class Model:
+        def __init__(self):
+            self.memo = arrow.Memo(self.make)
+
+        def make(self, key):
+            return key
+
+    monkeypatch.setattr(arrow, "_models", {})
+    first = arrow.held(lambda file: Model())
+    gone = weakref.ref(first("a"))
+    second = arrow.held(lambda file: gone())
+    gc.disable()
+    try:
+        assert second("b") is None
+    finally:
+        gc.enable()
+
+
+def test_memos_of_the_piece_encoder_are_bounded(monkeypatch):
+    """Pairs asked in bulk are not kept twice, and forgotten segments are encoded as before."""
+    texts = [f"word{i} other{i * 7919} und so weiter {'x' * (i % 90)}" for i in range(60)]
+    bpe = pieces.PieceBpe(PIECES)
+    bpe._fill(["▁" + w for w in "several plain words that no one has seen".split()])
+    assert not bpe.compatible
+    whole = bpe.encode_all(texts)
+    monkeypatch.setattr(pieces, "MOST", 20)
+    small = pieces.PieceBpe(PIECES)
+    assert [small.encode_all([t])[0] for t in texts] == whole and len(small.segments) < 60 and len(small.compatible) < 60
