@@ -341,6 +341,40 @@ def test_ward_looks_at_few_pairs_and_in_tasks(spark, monkeypatch):
     assert len(models.ward(broken)) == 39 and models.ward(x[:1]) == [] and models.ward(np.zeros((0, 0))) == []
 
 
+@pytest.mark.parametrize("mutual", [True, False])
+def test_order_of_reach_comes_from_lists_of_neighbours(mutual):
+    """Prim's order by lists and bounds is that over all pairs, with copies (any of which may come first), ties and lone groups."""
+    from emberwake.operators import models
+
+    rng = np.random.default_rng(6)
+    for x in (rng.normal(0, 1, (1, 2)), rng.normal(0, 1, (300, 3)), np.vstack([rng.normal(c, 1, (90, 4)) for c in (0, 30, 90)]), np.repeat(rng.normal(0, 1, (60, 3)), [1] * 59 + [200], 0), np.array([(i, j) for i in range(15) for j in range(15)], float)):
+        n, k = len(x), min(4, len(x) - 1)
+        d = ((x[:, None] - x) ** 2).sum(2)
+        core = (np.sort(d + np.diag(np.full(n, np.inf)), 1)[:, k - 1] if k else np.zeros(n)) * (1 + 1e-12)
+        far = np.maximum(d, core[:, None])
+        far, best, here, order, reach = np.maximum(far, core) if mutual else far, np.full(n, np.inf), np.ones(n, bool), [], []
+        for t in range(n):
+            j = int(np.where(here, best, np.inf).argmin()) if t else 0
+            order.append(j)
+            reach.append(math.sqrt(best[j]))
+            here[j], best = False, np.minimum(best, far[j])
+        got, near, source = models._grown(x, models._listed(x, np.ones(n), np.arange(n), models.LISTED), 4, mutual)
+        assert near[got] == pytest.approx(reach, abs=1e-7) and len(set(got.tolist())) == n
+        assert len(np.unique(x, axis=0)) < n or got.tolist() == order
+        assert all(math.sqrt(far[source[j], j]) == pytest.approx(near[j], abs=1e-7) for j in got[1:].tolist())
+
+
+def test_mixture_added_up_in_tasks_is_the_same(spark, monkeypatch):
+    from emberwake.operators import models
+
+    x = np.vstack([np.random.default_rng(c).normal(c, 1, (80, 3)) for c in (0, 5, 11)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "key long, features array<double>")
+    there = {r.key: r.label for r in models.bgmm(df, 3, 12).collect()}
+    monkeypatch.setattr(models, "HEAVY", 0)
+    assert {r.key: r.label for r in models.bgmm(df, 3, 12).collect()} == there and len(set(there.values())) >= 3
+    assert len({there[i] for i in range(80)} & {there[i] for i in range(160, 240)}) == 0
+
+
 def test_models_on_the_driver_keep_no_blocks_of_distances():
     """Distances to the kth other row take memory for a block, those of all pairs for one matrix."""
     import tracemalloc
