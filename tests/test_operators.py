@@ -364,6 +364,20 @@ def test_order_of_reach_comes_from_lists_of_neighbours(mutual):
         assert all(math.sqrt(far[source[j], j]) == pytest.approx(near[j], abs=1e-7) for j in got[1:].tolist())
 
 
+def test_balls_are_those_of_plain_distances():
+    from emberwake.operators import models
+
+    x, limit, plain = np.random.default_rng(8).normal(3, 1, (400, 5)), 1.2, []
+    for p in x:
+        i = min(range(len(plain)), key=lambda i: ((plain[i][0] - p) ** 2).sum(), default=None)
+        if i is not None and ((plain[i][0] - p) ** 2).sum() <= limit * limit:
+            plain[i] = (plain[i][0] + (p - plain[i][0]) / (plain[i][1] + 1), plain[i][1] + 1)
+        else:
+            plain.append((p, 1))
+    c, w = models._absorbed(x, np.ones(400), limit)
+    assert w.tolist() == [n for _, n in plain] and c == pytest.approx(np.array([m for m, _ in plain]))
+
+
 def test_mixture_added_up_in_tasks_is_the_same(spark, monkeypatch):
     from emberwake.operators import models
 
